@@ -189,18 +189,20 @@ def train(labelled: DataFrame, pieces: list[str], *, per_language: int = 800, ma
     return learn({k: Counter(dict(v.most_common(max_words))) for k, v in by_language.items()}, pieces, rounds=rounds)
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row."""
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """The ``carried`` columns (by default doc_id) with lang_pred and score, for every row."""
+    carried = carried or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # pieces times languages
-    kind = dict(docs.dtypes)[id_col]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for batch in batches:
-            found = list(scorer.texts(t.as_py() for t in batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[id_col, "lang_pred", "score"])
+            found = list(scorer.texts(t.as_py() for t in batch.column(0)))
+            told = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *told], names=[*carried, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
+    return docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried))).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 class Scorer:
@@ -250,10 +252,10 @@ def _scorer(shared) -> Scorer:
     return _scorers[key]
 
 
-def identify(docs: DataFrame, labelled: DataFrame, *, vocabulary_path: str | None = None, per_language: int = 800, rounds: int = 2) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, *, carried: list[str] | None = None, vocabulary_path: str | None = None, per_language: int = 800, rounds: int = 2) -> DataFrame:
     """Learn from ``labelled`` (doc_id, text, lang), then predict ``docs``."""
     if vocabulary_path is None:
         import public_tokenizers
 
         vocabulary_path = public_tokenizers.path("piece_bpe_32k.model")
-    return predict(docs, train(labelled, vocabulary(vocabulary_path), per_language=per_language, rounds=rounds))
+    return predict(docs, train(labelled, vocabulary(vocabulary_path), per_language=per_language, rounds=rounds), carried=carried)
