@@ -16,10 +16,9 @@ concentration over coordinates.
 * Documents with a key in common are compared with the key's smallest id (so a
   group of n gives n - 1 candidates, not n * n / 2). Links are confirmed on full
   sets, read again from the texts, and joined to components. Where a key still
-  holds several components, documents are compared across them, again first with
-  one leader each and then, for what remains, with all whose set sizes allow a
-  link. No link between different texts is dropped; pairs already in one
-  component are not needed.
+  holds several components, all its documents are compared across them, in pairs
+  of blocks of bounded size that yield nothing but links. No link between
+  different texts is dropped; pairs already in one component are not needed.
 
 Every join is a plain shuffled equi-join, which adaptive execution can split
 where a key is hot; groups are only counted and reduced (min, max), never
@@ -148,6 +147,51 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def _across(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between components within a key. members: (key, id, label, size of the key).
+
+    A key's members are dealt into blocks of about ``block``; each pair of blocks
+    is a group of its own, whose size does not depend on the key's.
+    """
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
+    dealt = members.withColumn("own", own).select("key", "id", "label", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label")
+    dealt = dealt.join(sets, "id").select("key", "i", "j", "own", "id", "label", "elements")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, labels, own = (group.column(c).to_numpy() for c in ("id", "label", "own"))
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("elements").combine_chunks()]
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        sizes = np.array([len(x) for x in found])
+        common = common_counts(found)
+        link = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        link &= (labels[:, None] != labels[None, :]) & (ids[:, None] < ids[None, :])
+        if i != j:
+            link &= own[:, None] != own[None, :]
+        a, b = np.nonzero(link)
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each two sets share, some elements at a time."""
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = counts[place] > 1
+    column = np.cumsum(counts > 1)[place[shared]] - 1
+    owner, out = owner[shared], np.zeros((len(sets), len(sets)), np.int64)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        lo, hi = np.searchsorted(column, (start, start + columns))
+        part = np.zeros((len(sets), columns), np.float32)
+        part[owner[lo:hi], column[lo:hi] - start] = 1
+        out += (part @ part.T).astype(np.int64)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id reachable, for all ids in ``links``(a, b). Alternates small-star and large-star."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -169,7 +213,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("id"), "label")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, leaders: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(signatures(docs, shingle=shingle, bands=bands, rows=rows), "signatures")
@@ -185,30 +229,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     sets = stored(_sets(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
     links = stored(_confirmed(pairs, sets, percent), "links")
     labels = stored(components(links), "labels")
-    tried = pairs
-    for turn in range(leaders + 1):
-        now = members.join(labels.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-        mixed_keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        left = now.join(mixed_keys, "key")
-        if turn < leaders:
-            # A leader of the smallest label in each key, another one each turn.
-            order = F.struct("label", F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n")
-            led = left.groupBy("key").agg(F.min(order).alias("lead"))
-            more = left.join(led, "key").where("label <> lead.label").select(F.col("lead.id").alias("x"), F.col("lead.n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny"))
-        else:
-            other = left.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-            more = left.join(other, "key").where("label < ly").select(F.col("id").alias("x"), F.col("n").alias("nx"), "y", "ny")
-        more = more.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = stored(more.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if turn < leaders:
-                continue
-            break
-        found = stored(_confirmed(more, sets, percent), "links")
-        tried = tried.union(more)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = stored(components(links), "labels")
+    # Keys that still hold several components: every pair across components, in blocks.
+    now = members.join(labels.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    open_keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+    found = stored(_across(now.join(open_keys, "key"), sets, percent, block), "links")
+    labels = stored(components(links.union(found)), "labels")
     named = classes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
