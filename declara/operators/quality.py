@@ -10,7 +10,7 @@ import ast
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEPT = 20
@@ -34,8 +34,8 @@ class Case:
 
 def unique(table: DataFrame, column: str) -> DataFrame:
     """Each repeat with the first row of its value; nulls and empty strings are values."""
-    first = table.groupBy(F.col(column).alias("v")).agg(F.min("ordinal").alias("first_row"), F.count("*").alias("n")).where("n > 1")
-    rows = table.join(first, F.col(column).eqNullSafe(F.col("v"))).where("ordinal > first_row")
+    first = table.groupBy(F.col(column).alias("__value")).agg(F.min("ordinal").alias("first_row"), F.count("*").alias("n")).where("n > 1")
+    rows = table.join(first, F.col(column).eqNullSafe(F.col("__value"))).where("ordinal > first_row")
     return rows.select("ordinal", F.concat(F.lit("row "), F.col("ordinal"), F.lit(": duplicate '"), F.coalesce(column, F.lit("")), F.lit("' (first seen row "), F.col("first_row"), F.lit(")")).alias("message"))
 
 
@@ -61,8 +61,8 @@ def row_count(table: DataFrame, low: int | None, high: int | None) -> DataFrame:
 
 def relationship(table: DataFrame, column: str, target: DataFrame, to_column: str) -> DataFrame:
     """Values, but for empty ones, that the target lacks."""
-    keys = target.select(F.col(to_column).alias("k")).distinct()
-    rows = table.where(F.coalesce(F.col(column) != "", F.lit(False))).join(keys, F.col(column) == F.col("k"), "left_anti")
+    keys = target.select(F.col(to_column).alias("__key")).distinct()
+    rows = table.where(F.coalesce(F.col(column) != "", F.lit(False))).join(keys, F.col(column) == F.col("__key"), "left_anti")
     return rows.select("ordinal", F.concat(F.lit("row "), F.col("ordinal"), F.lit(": orphan '"), F.col(column), F.lit("'")).alias("message"))
 
 

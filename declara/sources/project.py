@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 def read_corpus(spark: SparkSession, folder: str, glob: str = "*.sql") -> DataFrame:
     """(file_path, raw_sql, checksum) of all SQL files below a folder, a row each."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("raw_sql"), F.md5(F.col("value").cast("binary")).alias("checksum"))
 
 
