@@ -1,6 +1,6 @@
 """Line dedup: near-equal lines by a deletion-neighbourhood join.
 
-A line's form is its lower-cased words. Lines with fewer than ``min_words``
+A line's form is its words, A-Z lower-cased. Lines with fewer than ``min_words``
 words (blank ones too) are structure and stay. Of the others, a line is removed
 if an earlier one, by (doc_id, line number), has a form within ``max_edits``
 (0 or 1) word insertions, deletions or replacements. Whether the earlier line

@@ -32,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Letters that lower-case one to one, are stable under NFC and join no contraction; then marks.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s']*)\Z", re.ASCII)
+#: Letters that lower-case one to one and are stable under NFC; then marks, but for the one of contractions.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 CACHE = 250_000
 
 
