@@ -135,7 +135,7 @@ def with_next(docs: DataFrame, per_range: int = 1000) -> tuple[DataFrame, int]:
     heads = spark.createDataFrame([(p, k["doc_id"], k["text_key"], before[p]) for p, k in firsts], "part int, head_id long, head_key long, to int")
     head = dealt.join(F.broadcast(heads), (dealt.part == heads.part) & dealt.doc_id.eqNullSafe(heads.head_id) & (dealt.text_key == heads.head_key))
     head = head.select(F.col("to").alias("part"), F.lit(True).alias("follows"), "doc_id", "text", "text_key")
-    return dealt.select("part", F.lit(False).alias("follows"), "doc_id", "text", "text_key").union(head.dropDuplicates(["part"])), len(parts)
+    return dealt.select("part", F.lit(False).alias("follows"), "doc_id", "text", "text_key").union(head.dropDuplicates(["part"])), max(1, len(parts))
 
 
 def fingerprints(docs: DataFrame, *, samples: int = 64, per_range: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
