@@ -78,23 +78,25 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 def sketch(elements: np.ndarray, size: int) -> np.ndarray:
-    """Fast similarity sketch: for each coordinate the smallest (round, value), as 64-bit numbers."""
-    out = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-    empty = size
-    for i in range(2 * size):
-        h = mixed(elements ^ np.uint64(mixed(np.array([i], np.uint64))[0]))
-        value = (h >> np.uint64(16)) | np.uint64(i << 48)
-        if i < size:
-            place = (h & np.uint64(0xFFFF)) * np.uint64(size) >> np.uint64(16)
-            order = np.argsort(value)[::-1]
-            low = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-            low[place[order].astype(np.int64)] = value[order]
-            out = np.minimum(out, low)
-        else:
-            out[i - size] = min(out[i - size], value.min())
-        empty = int((out == np.iinfo(np.uint64).max).sum())
-        if not empty:
-            break
+    """Fast similarity sketch: for each coordinate the smallest (round, value), as 64-bit numbers.
+
+    Rounds are taken several at a time; those after the one that fills the last coordinate change nothing.
+    """
+    top = np.iinfo(np.uint64).max
+    out = np.full(size, top, np.uint64)
+    at_once = max(1, 8 * size // len(elements))
+    for first in range(0, size, at_once):
+        rounds = np.arange(first, min(first + at_once, size), dtype=np.uint64)
+        h = mixed(elements ^ mixed(rounds)[:, None])
+        place = (h & np.uint64(0xFFFF)) * np.uint64(size) >> np.uint64(16)
+        value = (h >> np.uint64(16)) | (rounds << np.uint64(48))[:, None]
+        np.minimum.at(out, place.ravel().astype(np.int64), value.ravel())
+        if out.max() < top:
+            return out
+    for i in np.flatnonzero(out == top):
+        rounds = np.uint64(size + i)
+        h = mixed(elements ^ mixed(np.array([rounds]))[0])
+        out[i] = (h >> np.uint64(16)).min() | (rounds << np.uint64(48))
     return out
 
 
