@@ -11,9 +11,12 @@ was itself removed makes no difference.
   (of the shorter one's words), so classes that share no half with another are
   put aside, exactly, before any variant is made.
 * What is left emits its variants: the form itself and the form without each
-  one word, as hashed keys. Equal keys are joined to the key's earliest class,
-  and the edit distance is verified on the words. Where that one is too far, the
-  others of the key are compared too, each with those of its key that are earlier.
+  one word, as hashed keys with the place of the word left out (-1: none).
+  Forms that agree in key and place differ in the word at that place only, so
+  the earliest of them settles the others. A form that is a key itself is one
+  word short of all others of the key: it settles the later ones, and the
+  earliest of them settles it. That is every pair that matters, at a number of
+  comparisons that grows with the variants; each is verified on the words.
 * Documents that lose lines are rewritten; the rest pass unread by any shuffle.
 
 Defined results: null text stays null; line ends are ``\\n``; repeated rows of
@@ -61,8 +64,8 @@ def halves(words: list[bytes]) -> list[int]:
     return sorted(out)
 
 
-def variants(words: list[bytes]) -> list[int]:
-    """Keys of the form and of the form without each one word."""
+def variants(words: list[bytes]) -> np.ndarray:
+    """Keys of the form and of the form without each one word, in the order of its place."""
     h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
     n = len(h)
     with np.errstate(over="ignore"):
@@ -71,7 +74,7 @@ def variants(words: list[bytes]) -> list[int]:
         head = np.concatenate([[np.uint64(0)], np.cumsum(here)])
         tail = np.concatenate([np.cumsum(before[::-1])[::-1], [np.uint64(0)]])
         keys = np.concatenate([[head[n] + place[n]], head[:n] + tail + place[n - 1]])
-    return [int(k) for k in np.unique(mixed(keys)).view(np.int64)]
+    return mixed(keys).view(np.int64)
 
 
 def near(a: list[bytes], b: list[bytes], edits: int) -> bool:
@@ -149,18 +152,17 @@ def repeated_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5) -
         wanted = classes.join(some, "form", "left_semi").groupBy("first.doc_id").agg(F.collect_list("first.line").alias("wanted"))
         varied = _variants(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted"))
         varied = stored(varied, "variants")
-        place = F.struct("doc_id", "line", "form")
-        keyed = varied.select(F.explode("keys").alias("key"), place.alias("at"))
-        firsts = keyed.groupBy("key").agg(F.min("at").alias("lead"), F.max("at").alias("last")).where("lead < last").select("key", "lead")
-        keyed = stored(keyed.join(firsts, "key"), "keyed")
-        tried = keyed.where("at <> lead").select(F.col("lead.form").alias("a"), F.col("at.form").alias("b")).distinct()
-        words = varied.select("form", "words")
-        spent = stored(_near(tried, words).select(F.col("b").alias("form")).distinct(), "spent")
-        # Keys whose earliest class was too far from some others: those meet all earlier ones of the key.
-        open_ = keyed.where("at <> lead").join(spent, F.col("at.form") == F.col("form"), "left_anti")
-        rest = open_.select("key", F.col("at").alias("late")).join(keyed.select("key", F.col("at").alias("early")), "key").where("early < late")
-        rest = rest.select(F.col("early.form").alias("a"), F.col("late.form").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        spent = spent.union(_near(rest, words).select(F.col("b").alias("form")).distinct())
+        keyed = varied.select("form", "doc_id", "line", F.posexplode("keys").alias("place", "key")).withColumn("place", F.col("place") - 1)
+        shared = keyed.groupBy("key").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo < hi").select("key")
+        at = F.struct("doc_id", "line", "form").alias("at")
+        keyed = stored(keyed.join(shared, "key", "left_semi").select("key", "place", at), "keyed")
+        longer, whole = keyed.where("place >= 0"), keyed.where("place < 0").groupBy("key").agg(F.min("at").alias("whole"))
+        leads = longer.groupBy("key", "place").agg(F.min("at").alias("lead"))
+        replaced = longer.join(leads, ["key", "place"]).select(F.col("lead").alias("early"), F.col("at").alias("late"))
+        inserted = longer.join(whole, "key").select(F.col("whole").alias("early"), F.col("at").alias("late"))
+        deleted = leads.groupBy("key").agg(F.min("lead").alias("early")).join(whole, "key").select("early", F.col("whole").alias("late"))
+        tried = replaced.union(inserted).union(deleted).where("early < late").select(F.col("early.form").alias("a"), F.col("late.form").alias("b")).distinct()
+        spent = _near(tried, varied.select("form", "words")).select(F.col("b").alias("form")).distinct()
     marked = classes.select("form", "first", "n")
     marked = marked.join(spent.withColumn("spent", F.lit(True)), "form", "left") if spent is not None else marked.withColumn("spent", F.lit(None).cast("boolean"))
     marked = marked.where("n > 1 or spent")

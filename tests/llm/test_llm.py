@@ -229,6 +229,19 @@ def test_lines(spark):
         assert set(lines.halves(words)) & set(lines.halves(words[:i] + words[i + 1 :])) and set(lines.halves(words)) & set(lines.halves(words[:i] + [b"zz"] + words[i + 1 :]))
 
 
+def test_lines_of_one_key(spark):
+    """Many lines around one base, with repeated words, against all earlier lines one by one."""
+    base = "aa aa bb cc aa dd dd".split()
+    made = [base[:i] + [w] + base[i + 1 :] for i in range(7) for w in ("aa", "dd", "x", "y")]
+    made += [base[:i] + [w] + base[i:] for i in range(8) for w in ("aa", "x", "z")] + [base[:i] + base[i + 1 :] for i in range(7)] + [base]
+    made = [made[i] for i in rng.permutation(len(made))]
+    for order in (made, made[::-1]):
+        forms = [[w.encode() for w in words] for words in order]
+        want = [int(any(lines.near(x, y, 1) for x in forms[:i])) for i, y in enumerate(forms)]
+        df = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(order)], DOCS)
+        assert [r["n_removed"] for r in lines.dedup_lines(df).orderBy("doc_id").collect()] == want
+
+
 def test_secrets():
     body = "z1" * 15
     value, check = zlib.crc32(body.encode()), ""
