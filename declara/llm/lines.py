@@ -17,7 +17,8 @@ was itself removed makes no difference.
   word short of all others of the key: it settles the later ones, and the
   earliest of them settles it. That is every pair that matters, at a number of
   comparisons that grows with the variants; each is verified on the words.
-* Documents that lose lines are rewritten; the rest pass unread by any shuffle.
+* Texts are dealt by doc_id twice, for the variants and for the result, by the
+  same plan at every size.
 
 Defined results: null text stays null; line ends are ``\\n``; repeated rows of
 one doc_id count by text; extra columns are carried along.
@@ -142,15 +143,15 @@ def repeated_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5) -
     """(doc_id, gone array<int>): numbers of the lines to remove. docs: (doc_id, text), ids distinct."""
     lines = stored(_lines(docs, min_words), "lines")
     first = F.min(F.struct("doc_id", "line")).alias("first")
-    classes = stored(lines.groupBy("form").agg(first, F.count("*").alias("n")), "classes")
+    known = [F.first("half").alias("half")] if max_edits else []  # the same for all lines of a form
+    classes = stored(lines.groupBy("form").agg(first, F.count("*").alias("n"), *known), "classes")
     spent = None
     if max_edits:
-        own = lines.join(classes.select("form", "first"), "form").where(F.struct("doc_id", "line") == F.col("first"))
-        half = own.select("form", F.explode("half").alias("key"))
+        half = classes.select("form", F.explode("half").alias("key"))
         shared = half.groupBy("key").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo < hi").select("key")
         some = half.join(shared, "key", "left_semi").select("form").distinct()
         wanted = classes.join(some, "form", "left_semi").groupBy("first.doc_id").agg(F.collect_list("first.line").alias("wanted"))
-        varied = _variants(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted"))
+        varied = _variants(docs.hint("merge").join(wanted, "doc_id").select("doc_id", "text", "wanted"))
         varied = stored(varied, "variants")
         keyed = varied.select("form", "doc_id", "line", F.posexplode("keys").alias("place", "key")).withColumn("place", F.col("place") - 1)
         shared = keyed.groupBy("key").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo < hi").select("key")
@@ -174,7 +175,7 @@ def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5, id_c
     """``docs`` without repeated lines, and ``n_lines``, ``n_removed``."""
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     gone = stored(repeated_lines(keyed, max_edits=max_edits, min_words=min_words), "gone").select(F.col("doc_id").alias("ll_doc"), "gone")
-    found = docs.join(gone, F.col(id_col) == F.col("ll_doc"), "left")
+    found = docs.hint("merge").join(gone, F.col(id_col) == F.col("ll_doc"), "left")
     lines = F.split(F.col(text_col), "\n")
     numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains("gone", p.i))
     rest = F.array_join(F.transform(numbered, lambda p: p.x), "\n")
