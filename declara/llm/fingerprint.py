@@ -8,11 +8,18 @@ they occur. For each of ``samples`` coordinates and each term with weight w:
 with r, c ~ Gamma(2, 1) and b ~ U(0, 1) drawn from the term and the coordinate;
 the coordinate keeps the (term, t) with the smallest a. Two texts agree at a
 coordinate with the probability of their generalised Jaccard similarity (sum of
-the smaller weights over sum of the larger ones).
+the smaller weights over sum of the larger ones), plus 2 ** -16 of the rest:
+a fingerprint names the (term, t) in 16 bits.
 
-The draws come from a table of ``2 ** BITS`` rows to which words are hashed, so
-they are made once per worker process and take bounded memory; two words fall
-on one row with probability 2 ** -BITS.
+A draw is a mix of the word's 64-bit hash with the coordinate's number, so that
+different words stay different terms, however many there are. It is taken apart
+another way, which leaves one number to draw for a word that occurs once: with
+e, d, q ~ Exp(1), let c = e + d, s = ln(c / e), r = s + q and b = q / r. These
+have the distributions above, and
+
+    t = floor((ln w + q) / r),  ln a = ln e - r * t
+
+so a is e where w is 1, and e grows with the mix it is made from.
 
 ``with_next`` brings each document together with its successor in the order of
 doc_id (then text). Documents are dealt into ranges of ids whose bounds come
@@ -40,59 +47,76 @@ from pyspark.sql import functions as F
 
 from .pack import Cache
 
-BITS = 16
-_tables: dict[int, tuple[np.ndarray, ...]] = {}
-_rows = Cache(400_000)
+#: Terms whose draws are made at a time: they stay in the processor's cache, and a long text needs no more memory.
+BLOCK = 1024
+_hashes = Cache(400_000)
+_coordinates: dict[int, np.ndarray] = {}
+
+
+def coordinates(samples: int) -> np.ndarray:
+    """Three numbers to mix for each coordinate: for e, d and q."""
+    if samples not in _coordinates:
+        _coordinates[samples] = np.random.Generator(np.random.PCG64(20_010)).integers(0, 1 << 64, (samples, 3), np.uint64).T.copy()
+    return _coordinates[samples]
+
+
+def drawn(hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """64 even bits for each hash (down) and coordinate (across)."""
+    x = hashes[:, None] ^ numbers
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x *= np.uint64(factor)
+        x ^= x >> np.uint64(32)
+    return x
 
 
-def draws(samples: int) -> tuple[np.ndarray, ...]:
-    """r, b, ln c and, for weight 1 (t = 0), ln a; the last also holds what names a term in 16 bits."""
-    if samples not in _tables:
-        rng = np.random.Generator(np.random.PCG64(20_010))
-        shape = (1 << BITS, samples)
-        gamma = lambda: -np.log(1 - rng.random(shape, np.float32)) - np.log(1 - rng.random(shape, np.float32))
-        r, log_c, b = gamma(), np.log(gamma()), rng.random(shape, np.float32)
-        _tables[samples] = r, b, log_c, log_c + r * b - r
-    return _tables[samples]
+def exponential(bits: np.ndarray) -> np.ndarray:
+    """Exp(1), growing with the bits."""
+    return -np.log1p(((bits >> np.uint64(12)).astype(np.float64) + 0.5) * -(2.0**-52))
 
 
 def weights(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of the text's terms, and their counts."""
-    known, counts = _rows.new, Counter()
-    for word, n in Counter(text.lower().split()).items():
-        row = known.get(word)
-        if row is None:
-            row = _rows.get(word)
-            if row is None:
-                row = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 64 - BITS
-                _rows.put(word, row)
-            known = _rows.new
-        counts[row] += n
-    return np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+    """64-bit hashes of the text's terms, and their counts."""
+    known, counts = _hashes.new, Counter(text.lower().split())
+    out = []
+    for word in counts:
+        found = known.get(word)
+        if found is None:
+            found = _hashes.get(word)
+            if found is None:
+                found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+                _hashes.put(word, found)
+            known = _hashes.new
+        out.append(found)
+    return np.array(out, np.uint64), np.fromiter(counts.values(), np.int64, len(counts))
 
 
 def signature(text: str, samples: int) -> np.ndarray | None:
     """A 16-bit number for each coordinate."""
-    rows, counts = weights(text)
-    if not len(rows):
+    hashes, counts = weights(text)
+    if not len(hashes):
         return None
-    r, b, log_c, once = draws(samples)
-    low = once[rows]
-    steps = None
-    many = np.flatnonzero(counts > 1)
-    if len(many):
-        at = rows[many]
-        steps = np.floor(np.log(counts[many]).astype(np.float32)[:, None] / r[at] + b[at])
-        low[many] = log_c[at] - r[at] * (steps - b[at]) - r[at]
-    best = low.argmin(axis=0)
-    t = np.zeros(samples, np.uint64)
-    if len(many):
-        place = np.full(len(rows), -1)
-        place[many] = np.arange(len(many))
-        of = place[best]
-        repeated = np.flatnonzero(of >= 0)
-        t[repeated] = steps[of[repeated], repeated].astype(np.uint64)
-    named = (rows[best].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + t * np.uint64(0xD1B54A32D192ED03)
+    for_e, for_d, for_q = coordinates(samples)
+    least, named, t = np.full(samples, np.inf), np.zeros(samples, np.uint64), np.zeros(samples, np.uint64)
+    across = np.arange(samples)
+    single, many = hashes[counts == 1], np.flatnonzero(counts > 1)
+    for i in range(0, len(single), BLOCK):
+        some = single[i : i + BLOCK]
+        bits = drawn(some, for_e)
+        best = bits.argmin(axis=0)
+        a = exponential(bits[best, across])
+        less = a < least
+        least[less], named[less] = a[less], some[best[less]]
+    for i in range(0, len(many), BLOCK):
+        some, log_w = hashes[many[i : i + BLOCK]], np.log(counts[many[i : i + BLOCK]])[:, None]
+        e, d, q = (exponential(drawn(some, x)) for x in (for_e, for_d, for_q))
+        r = np.log1p(d / e) + q
+        steps = np.floor((log_w + q) / r)
+        e *= np.exp(-r * steps)
+        best = e.argmin(axis=0)
+        a = e[best, across]
+        less = a < least
+        least[less], named[less], t[less] = a[less], some[best[less]], steps[best[less], across[less]].astype(np.uint64)
+    named = (named + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + t * np.uint64(0xD1B54A32D192ED03)
     named = (named ^ named >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     return (named >> np.uint64(48)).astype(">u2")
 

@@ -282,3 +282,21 @@ def test_fingerprints(spark):
         errors.append(fingerprint.likeness(fingerprint.signature(a, 64), fingerprint.signature(b, 64)) - sum((x & y).values()) / sum((x | y).values()))
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.1
     assert fingerprint.fingerprints(df.limit(0)).isEmpty()
+
+
+def test_fingerprint_terms_stay_apart():
+    """Texts of over 30k distinct words: different words must not become one term."""
+    n, samples = 40_000, 2048
+    word = lambda i: f"w{i}"
+    a = " ".join(map(word, range(n)))
+    for shared in (0, n // 4, n // 2):
+        b = " ".join(map(word, range(n - shared, 2 * n - shared)))
+        expected = shared / (2 * n - shared)
+        got = fingerprint.likeness(fingerprint.signature(a, samples), fingerprint.signature(b, samples))
+        assert abs(got - expected) < 4 * (expected * (1 - expected) / samples) ** 0.5 + 0.002
+    # Counts above one, so that the draws of d and q count too.
+    counts = rng.integers(1, 9, n), rng.integers(1, 9, n)
+    texts = [" ".join(f"{word(i)} " * c for i, c in enumerate(cs)) for cs in counts]
+    expected = np.minimum(*counts).sum() / np.maximum(*counts).sum()
+    got = fingerprint.likeness(*(fingerprint.signature(t, samples) for t in texts))
+    assert abs(got - expected) < 4 * (expected * (1 - expected) / samples) ** 0.5
