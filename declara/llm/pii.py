@@ -1,9 +1,16 @@
 """Personal data: detection, and surrogates of the same type and format.
 
-Detected: e-mail addresses, IBANs, payment card numbers, US social security and
-phone numbers, IPv4 addresses, and persons named after a title. One expression
-with an alternative for each kind finds them, so what two kinds could claim goes
-to the first.
+Detected: e-mail addresses, IBANs, payment card numbers, US social security
+numbers, phone numbers, IPv4 addresses, and persons named after a title. One
+expression with an alternative for each kind finds them, so what two kinds could
+claim goes to the first.
+
+* Phones: international ones after + or 00, national ones with a leading 0 (9 to
+  12 digits), North American and Spanish ones, with separators or without.
+* A name goes on over capital words, with particles (von, de la), initials and
+  inner capitals, hyphens and apostrophes, and always ends at a word's end.
+
+README says what is left undetected.
 
 A surrogate is drawn from SHA-512 of a key, the kind, the normalised value and
 an attempt number:
@@ -32,20 +39,52 @@ from pyspark.sql import functions as F
 
 from .common import let, stored
 
+#: Country codes, and a further digit with what may separate it from the one before.
+COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+_DIGIT = r"(?:(?:[ \u00a0\u202f.\-/]| ?\(|\)[ .\-/]?)?[0-9])"
+_TRUNK = r"(?: ?\(0\)|[ .\-/]?0)?"
+_DATE = r"[0-9]{1,2}[./\-][0-9]{1,2}[./\-](?:[0-9]{4}|[0-9]{2})(?![./\-]?[0-9])"
+PHONES = [
+    r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![\w])",
+    # International; lengths are fixed where they are known, so that a number after it stays apart.
+    rf"(?:\+|00)(?:1{_DIGIT}{{10}}|3[34]{_TRUNK}{_DIGIT}{{9}}|44{_TRUNK}{_DIGIT}{{9,10}}|49{_TRUNK}{_DIGIT}{{6,11}}|(?!1|3[34]|4[49]){COUNTRY}{_DIGIT}{{6,12}})(?![0-9_])",
+    # National: with a leading 0 in pairs or otherwise, North American, Spanish; no dates, no parts of longer numbers.
+    rf"(?<![0-9][.,\-/])(?!{_DATE})(?:"
+    + "|".join(
+        [
+            r"0[1-9](?:[ \u00a0\u202f.\-/]?[0-9]{2}){4}(?![\w]|[.,\-/][0-9])",
+            rf"0[1-9]{_DIGIT}{{7,10}}",
+            r"\(0[1-9][0-9]{0,4}\)(?:[ \-/]?[0-9]){4,9}",
+            r"(?:1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-]?)[2-9][0-9]{2}[ .\-]?[0-9]{4}",
+            r"[6-9][0-9]{2}(?:[ \-]?[0-9]{3}){2}",
+            r"[6-9][0-9]{2}(?:[ \-][0-9]{2}){3}",
+            r"[89][0-9][ \-][0-9]{3}(?:[ \-][0-9]{2}){2}",
+        ]
+    )
+    + r")(?![\w]|[.,\-/][0-9])",
+]
+TITLE = "(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)"
+TITLED = rf"{TITLE}(?:\.[ \u00a0\u202f]{{0,2}}|[ \u00a0\u202f]{{1,2}})"
+_LETTERS = r"[\p{L}\p{M}\p{N}_]*+"
+#: A capital word; hyphens and apostrophes go on, but for endings such as that of "Smith's".
+_WORD = rf"\p{{Lu}}{_LETTERS}(?:(?:-|['’](?!(?:s|ll|re|ve|d|m|t)(?!\p{{L}})))\p{{L}}{_LETTERS})*+"
+_PARTICLES = r"(?:(?:van|von|vom|zu|zur|zum|de|del|della|di|da|dos|du|le|la|el|al|ter|ten|bin|ibn)[ ](?:(?:der|den|dem|la|las|los)[ ])?)?(?:[dl]['’]|(?:al|el)-)?"
+_NAME = rf"{_PARTICLES}(?:(?:\p{{Lu}}\.[ \-]?)++)?{_WORD}"
+
 #: Kinds in order, each with the pattern that finds it at a word's start.
 PATTERNS = {
     "email": r"(?<![.%+\-])[A-Za-z0-9_.%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"[3-6][0-9]{3}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{3,4}(?![\w])",
     "ssn": r"[0-9]{3}(?<!-[0-9]{3})-[0-9]{2}-[0-9]{4}(?![\w\-])",
-    "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![\w])",
+    "phone": "(?:" + "|".join(PHONES) + ")",
     "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])",
-    "person": r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "person": rf"{TITLED}{_NAME}(?:[ \u00a0\u202f](?:y )?(?!{TITLE}(?!\p{{L}})){_NAME})*+",
 }
 START = r"(?<![\p{L}0-9_])"
 ANY = START + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Every entity has one of these; most texts have none, and are not searched further.
-HINT = r"[0-9@]|[MHFSГ](?:rs?\b|s\b|iss|err |rau |onsieur|adame|eñor|осп)"
+HINT = r"[0-9@]|[MHFSГ](?:rs?\b|s\b|iss|err|rau|onsieur|adame|eñor|осп)"
 MALE = r"^(?:Mr|Herr|Monsieur|Señor|Господин)\.? "
 GIVEN = {
     ("Latin", True): "Adam Boris Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Noel Oscar Paul Robert Simon Tom Victor",
@@ -70,9 +109,14 @@ def kind_of(value: Column) -> Column:
 
 
 def normalised(kind: Column, value: Column) -> Column:
-    """What tells entities apart: case does not in addresses, separators do not in numbers."""
+    """What tells entities apart: case does not in addresses, separators do not in numbers, a title's full stop does not."""
     numbers = F.regexp_replace(value, r"[^0-9+]", "")
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "ssn", "phone"), numbers).when(kind == "iban", F.replace(value, F.lit(" "))).otherwise(value)
+    return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "ssn", "phone"), numbers).when(kind == "iban", F.replace(value, F.lit(" "))).when(kind == "person", _spaced(value)).otherwise(value)
+
+
+def _spaced(person: Column) -> Column:
+    """Title and names with one space between them, and no full stop after the title."""
+    return F.regexp_replace(F.regexp_replace(person, rf"^({TITLE})(?!\p{{L}})\.?[ \u00a0\u202f]*", "$1 "), r"[\u00a0\u202f]", " ")
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -161,7 +205,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     """A surrogate of the normalised value, in that form."""
     drawn = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 512)
     domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(F.lower(value), "@", -1)), 512)
-    code = F.regexp_extract(value, r"^\+[0-9]*(?=[0-9]{10}$)", 0)
+    code = F.regexp_extract(value, rf"^(?:(?:\+|00){COUNTRY}0?|0|1(?=[0-9]{{10}}$))", 0)
     octets = F.array_join(F.transform(F.array(*map(F.lit, range(4))), lambda i: _byte(drawn, i).cast("string")), ".")
     return let(
         drawn,
@@ -182,7 +226,7 @@ def _area(number: Column, stream: Column) -> Column:
 
 
 def formatted(kind: Column, value: Column, drawn: Column) -> Column:
-    """A surrogate of a number with the separators of the value it stands for."""
+    """A surrogate of a number with the separators of the value it stands for, or of a person with its title as written."""
     signs = F.filter(F.split(drawn, ""), lambda c: c != "")
     chars = F.filter(F.split(value, ""), lambda c: c != "")
     is_sign = lambda c: c.rlike("^[0-9A-Za-z+]$")
@@ -191,7 +235,8 @@ def formatted(kind: Column, value: Column, drawn: Column) -> Column:
         F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
         lambda a, c: F.when(is_sign(c), F.struct((a.at + 1).alias("at"), F.concat(a.out, F.coalesce(F.get(signs, a.at - 1), F.lit(""))).alias("out"))).otherwise(F.struct(a.at.alias("at"), F.concat(a.out, c).alias("out"))),
     )
-    return F.when(kind.isin("card", "ssn", "phone", "iban"), step.out).otherwise(drawn)
+    titled = F.concat(F.regexp_extract(value, rf"^{TITLED}", 0), F.substring(drawn, F.instr(drawn, " ") + 1, F.length(drawn)))
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), step.out).when(kind == "person", titled).otherwise(drawn)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:

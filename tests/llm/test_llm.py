@@ -300,3 +300,25 @@ def test_fingerprint_terms_stay_apart():
     expected = np.minimum(*counts).sum() / np.maximum(*counts).sum()
     got = fingerprint.likeness(*(fingerprint.signature(t, samples) for t in texts))
     assert abs(got - expected) < 4 * (expected * (1 - expected) / samples) ** 0.5
+
+
+def test_pii_phones_and_names(spark):
+    phones = ["+49 30 1234567", "+33 1 42 68 53 00", "06 12 34 56 78", "+34 912 345 678", "020 7946 0958", "5145558389", "+44 (0)20 7946 0958", "0049 30 1234567", "(030) 1234567", "0171/1234567", "06.12.34.56.78", "612 34 56 78", "+15145558389", "1-514-555-8389"]
+    persons = ["Mr. McDonald", "Mr. Jean-Luc Picard", "Mrs. Anna Maria Smith", "Mr. O'Brien", "Señor Ortega y Gasset", "Herr von der Leyen", "Mr. John F. Kennedy", "Madame d'Arc", "Mr.Smith", "Господин Римский-Корсаков"]
+    left = ["on 01.02.2024 10:30", "pi 3.5145558389", "1700000000 s", "ISBN 978-0-306-40615-7", "id 051455583890123", "2024-01-02 03:04:05", "Frau des Hauses", "5145558389.50"]
+    texts = [f"call {x}, please" for x in phones] + [f"saw {x}'s cat, then" for x in persons] + left + ["Mr. Smith; Mr Smith; Mr. Smith's", "Mr. Smith Mrs. Jones", "+33 1 42 68 53 00 2024 5.6.7.8"]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), DOCS), "k").collect()}
+    for i, x in enumerate(phones):
+        assert got[i]["n_entities"] == 1 and x not in got[i]["text"], x
+        assert re.sub("[0-9]", "9", got[i]["text"]) == re.sub("[0-9]", "9", texts[i]), x
+    for i, x in enumerate(persons, len(phones)):
+        title = re.match(r"\w+\.? ?", x)[0]
+        assert got[i]["n_entities"] == 1 and re.fullmatch(rf"saw {re.escape(title)}\w+( \w+)?'s cat, then", got[i]["text"]), got[i]["text"]
+        assert not set(re.findall(r"\w{3,}", x[len(title) :])) & set(re.findall(r"\w+", got[i]["text"])), got[i]["text"]
+    for i, x in enumerate(left, len(phones) + len(persons)):
+        assert got[i]["text"] == x and got[i]["n_entities"] == 0, got[i]["text"]
+    same, two, apart = (got[len(texts) - n] for n in (3, 2, 1))
+    first = re.match(r"Mr\. (\w+); ", same["text"])[1]
+    assert same["text"] == f"Mr. {first}; Mr {first}; Mr. {first}'s" and first != "Smith"
+    assert two["n_entities"] == 2 and apart["n_entities"] == 2 and " 2024 " in apart["text"]
+    assert got[0]["text"].startswith("call +49 ") and got[2]["text"].startswith("call 0") and got[6]["text"].startswith("call +44 (0)")
