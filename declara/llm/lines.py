@@ -1,7 +1,9 @@
 """Line dedup: near-equal lines by a deletion-neighbourhood join.
 
 A line's form is its words, A-Z lower-cased. Lines with fewer than ``min_words``
-words (blank ones too) are structure and stay. Of the others, a line is removed
+words (blank ones too) are structure and stay; with ``short_repeats`` those not
+blank are removed as well where an earlier one has the same form, without edits.
+Of the others, a line is removed
 if an earlier one, by (doc_id, line number), has a form within ``max_edits``
 (0 or 1) word insertions, deletions or replacements. Whether the earlier line
 was itself removed makes no difference.
@@ -92,18 +94,18 @@ def near(a: list[bytes], b: list[bytes], edits: int) -> bool:
     return edits == 1 and a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+def _lines(docs: DataFrame, min_words: int, short_repeats: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at, forms, half = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for i, line in enumerate((text.as_py() or "").split("\n")):
                     words = words_of(line)
-                    if len(words) >= min_words:
+                    if len(words) >= min_words or short_repeats and words:
                         ids.append(doc_id)
                         at.append(i)
                         forms.append(form_of(words))
-                        half.append(halves(words))
+                        half.append(halves(words) if len(words) >= min_words else [])  # none: no variants
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(forms, pa.int64()), pa.array(half, pa.list_(pa.int64()))], names=["doc_id", "line", "form", "half"])
 
     return docs.mapInArrow(run, LINES)
@@ -139,9 +141,9 @@ def _near(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
-def repeated_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5, short_repeats: bool = False) -> DataFrame:
     """(doc_id, gone array<int>): numbers of the lines to remove. docs: (doc_id, text), ids distinct."""
-    lines = stored(_lines(docs, min_words), "lines")
+    lines = stored(_lines(docs, min_words, short_repeats), "lines")
     first = F.min(F.struct("doc_id", "line")).alias("first")
     known = [F.first("half").alias("half")] if max_edits else []  # the same for all lines of a form
     classes = stored(lines.groupBy("form").agg(first, F.count("*").alias("n"), *known), "classes")
@@ -171,10 +173,10 @@ def repeated_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5) -
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5, short_repeats: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated lines, and ``n_lines``, ``n_removed``."""
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    gone = stored(repeated_lines(keyed, max_edits=max_edits, min_words=min_words), "gone").select(F.col("doc_id").alias("ll_doc"), "gone")
+    gone = stored(repeated_lines(keyed, max_edits=max_edits, min_words=min_words, short_repeats=short_repeats), "gone").select(F.col("doc_id").alias("ll_doc"), "gone")
     found = docs.hint("merge").join(gone, F.col(id_col) == F.col("ll_doc"), "left")
     lines = F.split(F.col(text_col), "\n")
     numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains("gone", p.i))

@@ -322,3 +322,9 @@ def test_pii_phones_and_names(spark):
     assert same["text"] == f"Mr. {first}; Mr {first}; Mr. {first}'s" and first != "Smith"
     assert two["n_entities"] == 2 and apart["n_entities"] == 2 and " 2024 " in apart["text"]
     assert got[0]["text"].startswith("call +49 ") and got[2]["text"].startswith("call 0") and got[6]["text"].startswith("call +44 (0)")
+
+
+def test_short_lines(spark):
+    df = spark.createDataFrame([(1, "All rights reserved.\n\nx"), (2, "all  RIGHTS reserved.\nall rights\n\ny"), (3, "a b c d e\na b c d")], DOCS)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df, short_repeats=True).collect()}
+    assert got == {1: "All rights reserved.\n\nx", 2: "all rights\n\ny", 3: "a b c d e\na b c d"}
