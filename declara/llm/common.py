@@ -49,6 +49,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_keys(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", nulls: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a long ``key`` that no two rows share, and (key, its id) where the two differ (None: nowhere).
+
+    A row's key is its id. Rows without an id (with ``nulls``; without, theirs
+    stays null) and those whose id others have too are written once with keys
+    after all ids, in the order of id and text. Where ids leave no room above
+    them, those keys are 64-bit hashes.
+    """
+    own = F.col(id_col).cast("long")
+    ids = docs.select(own.alias("own_id"))
+    shared = ids.groupBy("own_id").count().where("own_id is null or count > 1" if nulls else "own_id is not null and count > 1").select("own_id")
+    shared = stored(shared, "shared")
+    if shared.isEmpty():
+        return docs.withColumn(key, own), None
+    top = ids.agg(F.max("own_id")).first()[0]
+    top = -1 if top is None else max(top, -1)
+    at = F.monotonically_increasing_id()
+    fresh = at + F.lit(top + 1) if top < 1 << 62 else F.xxhash64(F.lit("own key"), at)
+    same = own.eqNullSafe(F.col("own_id"))
+    odd = docs.join(shared, same, "left_semi").orderBy(own, F.xxhash64(text_col), F.col(text_col))
+    odd = stored(odd.withColumn(key, fresh), "odd")
+    return docs.join(shared, same, "left_anti").withColumn(key, own).unionByName(odd), odd.select(key, own.alias("own_id"))
+
+
 def release() -> None:
     """Remove everything ``scratch`` has handed out."""
     while _written:

@@ -17,8 +17,8 @@ under ``broadcast_rows``, and so are the seeds; beyond that the joins shuffle.
 Seeds find their documents again by key, so that no text is copied per
 fingerprint.
 
-Defined results: null text has no words; a repeated ``doc_id`` gives one row, a
-null one is a key like any other; items without words never match; repeated
+Defined results: null text has no words; rows with one ``doc_id`` and one text
+give one row, different texts of one ``doc_id`` or of none a row each; items without words never match; repeated
 items count once per ``item_id``; extra columns of either input are ignored.
 """
 
@@ -89,7 +89,8 @@ def decontaminate(
     marks = [
         items.where(F.col("len") == n).select(F.explode(_marks(_word_hashes(F.col("iw")), n, span, gram)).alias("mark"), "len") for n in lengths
     ]
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    # Texts that share an id, or have none, are documents of their own.
+    docs = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("doc"), F.col(text_col).alias("text"))
     if not lengths:
         return _result(docs.select("doc", F.size(words_of(F.col("text"))).cast("long").alias("n"), *_no_hits()), id_col)
     known = marks[0]
@@ -151,5 +152,5 @@ def _extended(n: int, span: int, gram: int) -> Column:
 def _result(hits: DataFrame, id_col: str) -> DataFrame:
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     inside = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.at, s.at + s.len - 1))))
-    hits = hits.select(F.col("doc").alias(id_col), F.col("n").alias("n_words"), F.size(inside).cast("long").alias("n_hit"), ids.alias("items"))
+    hits = hits.select(F.col("doc.id").alias(id_col), F.col("n").alias("n_words"), F.size(inside).cast("long").alias("n_hit"), ids.alias("items"))
     return hits.withColumn("contaminated", F.col("n_hit") > 0)

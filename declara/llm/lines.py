@@ -22,8 +22,9 @@ was itself removed makes no difference.
 * Texts are dealt by doc_id twice, for the variants and for the result, by the
   same plan at every size.
 
-Defined results: null text stays null; line ends are ``\\n``; repeated rows of
-one doc_id count by text; extra columns are carried along.
+Defined results: null text stays null; line ends are ``\\n``; extra columns are
+carried along. Each row is judged by itself: rows without a doc_id, and those
+that share one, come after all others, by doc_id and text.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import own_keys, stored
 from .near_dup import mixed
 
 LINES = "doc_id long, line int, form long, half array<long>"
@@ -175,9 +176,10 @@ def repeated_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5, s
 
 def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5, short_repeats: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated lines, and ``n_lines``, ``n_removed``."""
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    owned, _ = own_keys(docs, "ll_key", id_col, text_col)
+    keyed = owned.select(F.col("ll_key").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     gone = stored(repeated_lines(keyed, max_edits=max_edits, min_words=min_words, short_repeats=short_repeats), "gone").select(F.col("doc_id").alias("ll_doc"), "gone")
-    found = docs.hint("merge").join(gone, F.col(id_col) == F.col("ll_doc"), "left")
+    found = owned.hint("merge").join(gone, F.col("ll_key") == F.col("ll_doc"), "left")
     lines = F.split(F.col(text_col), "\n")
     numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains("gone", p.i))
     rest = F.array_join(F.transform(numbered, lambda p: p.x), "\n")

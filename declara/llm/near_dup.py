@@ -24,9 +24,10 @@ Every join is a plain shuffled equi-join, which adaptive execution can split
 where a key is hot; groups are only counted and reduced (min, max), never
 collected. Intermediate tables are Parquet in the shared folder.
 
-Defined results: null text is empty; repeated rows with one ``doc_id`` and one
-text are one document of that class; null ids are ignored for links and stay
-their own component.
+Defined results: null text is empty; rows that share a ``doc_id`` are documents
+of their own and come after all others, so one of several equal rows is kept (a
+component of such rows alone bears their common id); null ids are ignored for
+links: such a row is with those of its very text, or else by itself.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import own_keys, stored
 from .pack import Cache
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -217,7 +218,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    owned, shared_ids = own_keys(docs, "own_key", id_col, text_col, nulls=False)
+    docs = owned.select(F.col("own_key").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(signatures(docs, shingle=shingle, bands=bands, rows=rows), "signatures")
     real = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"))
@@ -239,4 +241,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     named = classes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    for name in ("doc_id", "component_id") if shared_ids is not None else ():
+        known = shared_ids.select(F.col("own_key").alias("known_key"), "own_id")
+        out = out.join(known, F.col(name) == F.col("known_key"), "left").withColumn(name, F.coalesce("own_id", name)).drop("known_key", "own_id")
+    return out

@@ -328,3 +328,32 @@ def test_short_lines(spark):
     df = spark.createDataFrame([(1, "All rights reserved.\n\nx"), (2, "all  RIGHTS reserved.\nall rights\n\ny"), (3, "a b c d e\na b c d")], DOCS)
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df, short_repeats=True).collect()}
     assert got == {1: "All rights reserved.\n\nx", 2: "all rights\n\ny", 3: "a b c d e\na b c d"}
+
+
+def test_lines_of_shared_ids(spark):
+    """Texts that share an id, or have none, are judged each by itself."""
+    a, b, c = prose(12), prose(14), prose(16)
+    df = spark.createDataFrame([(1, a), (2, f"{a}\nx"), (2, f"{b}\ny"), (3, c), (None, c), (None, prose(18)), (5, prose(20))], DOCS)
+    got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(df).collect()), key=str)
+    want = [(d, t, 0) for d, t in ((r["doc_id"], r["text"]) for r in df.collect())]
+    want[1], want[4] = (2, "x", 1), (None, "", 1)
+    assert got == sorted(want, key=str)
+    top = spark.createDataFrame([(2**63 - 1, a), (-(2**63), b), (None, c), (None, c)], DOCS)
+    assert sorted(r["n_removed"] for r in lines.dedup_lines(top).collect()) == [0, 0, 0, 1]
+
+
+def test_decontaminate_shared_ids(spark):
+    passage, other = "one two three four five six seven eight nine ten", prose(20)
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {passage}"), (1, other), (None, f"{passage} y z"), (None, "clean"), (None, None)], DOCS)
+    for limit in (500_000, 0):
+        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"]) for r in decontaminate.decontaminate(docs, bench, broadcast_rows=limit).collect()), key=str)
+        assert got == sorted([(1, 11, 10), (1, 20, 0), (None, 12, 10), (None, 1, 0), (None, 0, 0)], key=str)
+
+
+def test_near_duplicates_shared_ids(spark):
+    """A text that shares its id with another still links those it is like."""
+    a, b = prose(60), prose(60)
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, prose(60)), (4, prose(60)), (None, prose(60))], DOCS)
+    got = near_dup.near_duplicates(df).select("doc_id", "component_id", "kept")
+    assert rows(got, "doc_id", "component_id", "kept") == sorted([(1, 2, False), (1, 3, False), (2, 2, True), (3, 3, True), (4, 4, True), (4, 4, True), (None, None, True)], key=str)
