@@ -1,7 +1,9 @@
 """The training-data pipeline: five stages over ``documents``, each written and read again.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents.
+return the columns of documents. Stages that compare documents give each row a
+key of its own, so that rows without a doc_id, or with a common one, are judged
+like all others.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declara.llm.common import stored, table
+from declara.llm.common import own_keys, stored, table
 from declara.llm.decontaminate import decontaminate
 from declara.llm.language import UNDETERMINED, identify
 from declara.llm.lines import dedup_lines
@@ -35,14 +37,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (five words, 0.8)."""
-    gone = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed, _ = own_keys(docs, "row_key")
+    gone = near_duplicates(keyed, id_col="row_key").where(~F.col("kept")).select(F.col("doc_id").alias("row_key"))
+    return keyed.join(gone, "row_key", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated and doc_id is not null").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    keyed, _ = own_keys(docs, "row_key")
+    hit = decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="row_key").where("contaminated").select("row_key")
+    return keyed.join(hit, "row_key", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,3 +112,17 @@ def test_run(spark):
             assert p["offset"] == at
             at += p["length"]
         assert at <= 4096
+
+
+def test_rows_without_own_ids(spark, tmp_path):
+    """Null ids and repeated rows are judged like all others."""
+    words = lambda k, n: " ".join(f"{chr(97 + k)}{i}w" for i in range(n))
+    passage = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    data = [(None, f"x {passage} y"), (None, words(0, 40)), (1, words(0, 40)), (2, words(1, 40)), (2, words(1, 40)), (3, words(2, 40)), (3, words(3, 40)), (None, words(4, 40))]
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in data], "doc_id long, text string, n_chars long")
+    once = sorted([data[0], *data[2:4], *data[5:]], key=str)
+    told = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert told(corpus_pipeline.lines(spark, docs, str(tmp_path))) == once
+    assert told(corpus_pipeline.near_dedup(spark, docs, str(tmp_path))) == once
+    assert told(corpus_pipeline.decontamination(spark, docs, str(tmp_path))) == sorted(data[1:], key=str)
