@@ -11,6 +11,7 @@ import weakref
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MARK_BITS = 26
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 _written: list[tuple[weakref.ref, str]] = []
 
@@ -89,14 +90,64 @@ def release() -> None:
 atexit.register(release)
 
 
+def marks_of(ids: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the hashes of ``key``, for ``perhaps_in``: 2 ** MARK_BITS bits at most (8 MiB), whatever the input.
+
+    Rows are gathered by bucket before bits are set, so that tasks send ids, not bitmaps.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
+    placed = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).distinct()
+    return placed.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def perhaps_in(rows: DataFrame, key: str, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``key`` may be among the ids of ``marks`` (all that are, and a few more), and the rest.
+
+    Rows that have no partner thus skip a join's shuffle. The bitmap is broadcast: its size has a bound. Past some
+    hundred million ids it fills up, and all rows go to the join.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
+    bits = F.broadcast(marks.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("coalesce(shiftright(_byte, cast(_bit % 8 as int)) & 1, 0) = 1")
+    found = rows.join(bits, F.bitmap_bucket_number(place) == F.col("_bucket"), "left").withColumns({"_byte": byte, "_bit": at}).withColumn("_hit", hit)
+    return found.where("_hit").select(*rows.columns), found.where("not _hit").select(*rows.columns)
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+class Carried:
+    """A table as (id, text, rest): its other columns in one struct, so that no name of theirs clashes with an inner one.
+
+    Columns that have the name of one the operator adds give way to it.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, adds: tuple[str, ...] = ()):
+        taken = {a.lower() for a in adds} - {id_col.lower(), text_col.lower()}
+        self.names, self.id_col, self.text_col = [c for c in docs.columns if c.lower() not in taken], id_col, text_col
+        others = [quoted(c).alias(f"c{i}") for i, c in enumerate(self.names) if c not in (id_col, text_col)] or [F.lit(True).alias("none")]
+        self.rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), F.struct(*others).alias("rest"))
+
+    def out(self, rows: DataFrame, *more: Column) -> DataFrame:
+        """The columns of the table in their order, from rows that have id, text and rest, then ``more``."""
+        own = {self.id_col: F.col("id"), self.text_col: F.col("text")}
+        return rows.select(*(own.get(c, F.col("rest")[f"c{self._at(c)}"]).alias(c) for c in self.names), *more)
+
+    def _at(self, name: str) -> int:
+        return self.names.index(name)
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` alone would touch other letters, so it serves pure ASCII texts only."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def count_up_to(df: DataFrame, most: int) -> int:
-    """Rows of ``df``, but at most ``most + 1``: for size checks before a broadcast."""
-    return df.limit(most + 1).count()
+def fits(df: DataFrame, size: Column, most: int) -> bool:
+    """Whether the rows of ``df``, of ``size`` bytes each, stay under ``most``: for checks before a broadcast."""
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
 
 
 def let(value: Column, body) -> Column:

@@ -12,14 +12,16 @@ their own length, where winnowing keeps everything). Fingerprints that occur on
 both sides are seeds; each seed is extended left and right to the windows that
 contain it, and those are compared word by word with the benchmark's.
 
-The benchmark side is broadcast only when its fingerprints and windows stay
-under ``broadcast_rows``, and so are the seeds; beyond that the joins shuffle.
+The benchmark side is broadcast only when its fingerprints and windows are under
+``broadcast_bytes``, and so are the seeds; beyond that the joins shuffle.
 Seeds find their documents again by key, so that no text is copied per
 fingerprint.
 
 Defined results: null text has no words; rows with one ``doc_id`` and one text
-give one row, different texts of one ``doc_id`` or of none a row each; items without words never match; repeated
-items count once per ``item_id``; extra columns of either input are ignored.
+give one row, different texts of one ``doc_id`` or of none a row each; items
+without words never match; ids of items may be of any type, repeated items count
+once per ``item_id``, and one without an id marks words but is not listed; an
+empty benchmark hits nothing; extra columns of either input are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import count_up_to, let, lower_az, stored
+from .common import fits, let, lower_az, quoted, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -70,12 +72,13 @@ def decontaminate(
     *,
     span: int = 10,
     gram: int = 4,
-    broadcast_rows: int = 500_000,
+    broadcast_bytes: int = 64_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Per document: words, hit words and the sorted ids of the items whose windows occur."""
     gram = min(gram, span)
+    kind = benchmark.select("item_id").schema[0].dataType.simpleString()
     items = benchmark.select(F.col("item_id").alias("item"), words_of(F.col("text")).alias("iw")).where(F.size("iw") > 0)
     items = items.withColumn("len", F.least(F.size("iw"), F.lit(span)))
     lengths = sorted(r["len"] for r in items.select("len").distinct().collect())  # at most `span` values
@@ -90,17 +93,17 @@ def decontaminate(
         items.where(F.col("len") == n).select(F.explode(_marks(_word_hashes(F.col("iw")), n, span, gram)).alias("mark"), "len") for n in lengths
     ]
     # Texts that share an id, or have none, are documents of their own.
-    docs = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("doc"), F.col(text_col).alias("text"))
+    docs = docs.select(F.struct(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("text")).alias("doc"), quoted(text_col).alias("text"))
     if not lengths:
-        return _result(docs.select("doc", F.size(words_of(F.col("text"))).cast("long").alias("n"), *_no_hits()), id_col)
+        return _result(docs.select("doc", F.size(words_of(F.col("text"))).cast("long").alias("n"), *_no_hits(kind)), id_col)
     known = marks[0]
     for more in marks[1:]:
         known = known.union(more)
     known = known.distinct()
-    small = count_up_to(known, broadcast_rows) <= broadcast_rows and count_up_to(windows, broadcast_rows) <= broadcast_rows
-    if small:
+    known, windows = stored(known, "marks"), stored(windows.select("window", F.col("len").alias("window_len"), "items"), "windows")
+    listed = F.aggregate("items", F.lit(0), lambda n, i: n + F.octet_length(i.cast("string")) + 16)
+    if fits(known, F.lit(24), broadcast_bytes) and fits(windows, F.octet_length("window") + listed + 48, broadcast_bytes):
         known, windows = F.broadcast(known), F.broadcast(windows)
-    windows = windows.select("window", F.col("len").alias("window_len"), "items")
     # Only keys and hashes pass the explode; a row without a mark keeps each document.
     hashed = docs.select("doc", words_of(F.col("text")).alias("words")).select("doc", F.size("words").cast("long").alias("n"), _word_hashes(F.col("words")).alias("hashes"))
     found = F.concat(F.array(F.lit(None).cast("long")), *(_marks(F.col("hashes"), n, span, gram) for n in lengths))
@@ -108,9 +111,9 @@ def decontaminate(
     seeds = seeds.where(F.col("mark").isNotNull() | F.col("at_mark").isNull())
     seeds = seeds.groupBy("doc").agg(F.max("n").alias("n"), F.collect_set(F.when(F.col("mark").isNotNull(), F.struct("mark", "len"))).alias("seeds"))
     seeds = stored(seeds, "seeds")
-    clear = seeds.where(F.size("seeds") == 0).select("doc", "n", *_no_hits())
+    clear = seeds.where(F.size("seeds") == 0).select("doc", "n", *_no_hits(kind))
     seeded = seeds.where(F.size("seeds") > 0).select(F.col("doc").alias("key"), "n", "seeds")
-    if (seeded.agg(F.sum(F.size("seeds"))).first()[0] or 0) <= broadcast_rows:
+    if fits(seeded, F.size("seeds") * 32 + 64, broadcast_bytes):
         seeded = F.broadcast(seeded)
     texts = docs.join(seeded, F.col("doc").eqNullSafe(F.col("key")))
     texts = texts.select("doc", "n", "seeds", words_of(F.col("text")).alias("words")).withColumn("hashes", _word_hashes(F.col("words")))
@@ -127,8 +130,15 @@ def decontaminate(
     return _result(clear.union(hits), id_col)
 
 
-def _no_hits() -> list[Column]:
-    return [F.array().cast("array<struct<at:int,len:int>>").alias("spans"), F.array().cast("array<bigint>").alias("items")]
+def _no_hits(kind: str) -> list[Column]:
+    return [F.array().cast("array<struct<at:int,len:int>>").alias("spans"), F.array().cast(f"array<{kind}>").alias("items")]
+
+
+def _contains(values: Column, body) -> Column:
+    """``body(has)`` where has(h) tells whether h is among ``values``, which are dealt into some sqrt(n) lists by remainder."""
+    lists = F.ceil(F.sqrt(F.size(values))).cast("int")
+    dealt = let(lists, lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(values, lambda v: F.pmod(v, n) == i)))
+    return let(dealt, lambda d: body(lambda h: F.array_contains(F.get(d, F.pmod(h, F.size(d)).cast("int")), h)))
 
 
 def _marks(hashes: Column, n: int, span: int, gram: int) -> Column:
@@ -140,12 +150,12 @@ def _extended(n: int, span: int, gram: int) -> Column:
     """Starts (from 1) of the n-word windows that contain a seed, wherever its run occurs."""
     k = gram if n == span else n
 
-    def around(marks: Column) -> Column:
-        places = F.transform(_runs(F.col("hashes"), k), lambda h, i: F.when(F.array_contains(marks, h), i + 1))
+    def around(has) -> Column:
+        places = F.transform(_runs(F.col("hashes"), k), lambda h, i: F.when(has(h), i + 1))
         starts = F.transform(F.filter(places, lambda p: p.isNotNull()), lambda p: F.sequence(F.greatest(p - (n - k), F.lit(1)), p))
         return F.array_distinct(F.flatten(starts))
 
-    starts = let(F.col("seeds.mark"), around)
+    starts = _contains(F.col("seeds.mark"), around)
     return let(F.size("words"), lambda total: F.filter(starts, lambda a: a + (n - 1) <= total))
 
 

@@ -29,8 +29,9 @@ sorted, as a stream, and no text takes part in a global sort or a join.
 
 Defined results: null text is empty; an empty text, or one of white space, has
 the empty fingerprint, which is like another empty one (1) and unlike all
-others (0); a null id comes before all others; repeated rows follow each other;
-a single document is its own successor.
+others (0); a null id comes before all others; rows that share an id follow each
+other by text, so repeated rows are neighbours; a single document is its own
+successor; an empty table has no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,14 +43,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pack import Cache
+from .common import quoted
+from .kept import Cache, held
 
 #: Terms whose draws are made at a time: they stay in the processor's cache, and a long text needs no more memory.
 BLOCK = 1024
-_hashes = Cache(400_000)
 _coordinates: dict[int, np.ndarray] = {}
 
 
@@ -76,16 +77,17 @@ def exponential(bits: np.ndarray) -> np.ndarray:
 
 def weights(text: str) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the text's terms, and their counts."""
-    known, counts = _hashes.new, Counter(text.lower().split())
+    hashes = held("fingerprint", lambda: Cache(200_000))
+    known, counts = hashes.new, Counter(text.lower().split())
     out = []
     for word in counts:
         found = known.get(word)
         if found is None:
-            found = _hashes.get(word)
+            found = hashes.get(word)
             if found is None:
                 found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-                _hashes.put(word, found)
-            known = _hashes.new
+                hashes.put(word, found)
+            known = hashes.new
         out.append(found)
     return np.array(out, np.uint64), np.fromiter(counts.values(), np.int64, len(counts))
 
@@ -141,14 +143,17 @@ def ranges(docs: DataFrame, per_range: int) -> list[int]:
     return sorted({int(x) for x in found})
 
 
+def _passed(bounds: list[int], value: Column) -> Column:
+    """How many of the sorted bounds are at most ``value``, by bisection: the work for a row grows with their logarithm."""
+    at = F.from_json(F.lit(str(bounds)), "array<long>")  # one literal
+    powers = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(powers, F.lit(0), lambda passed, power: F.when(F.get(at, passed + power - 1) <= value, passed + power).otherwise(passed))
+
+
 def with_next(docs: DataFrame, per_range: int = 1000) -> tuple[DataFrame, int]:
     """Rows (part, follows, doc_id, text): each range's documents, and (follows) the one after its last."""
     bounds = ranges(docs, per_range)
-    part = F.lit(0)
-    if bounds:
-        # One range lookup for each row: bounds are sorted, so the count of those passed is the range.
-        at = F.array(*(F.lit(x).cast("long") for x in bounds))
-        part = F.coalesce(F.size(F.filter(at, lambda x: x <= F.col("doc_id"))), F.lit(0))
+    part = _passed(bounds, F.col("doc_id")) if bounds else F.lit(0)
     dealt = docs.withColumn("part", part)
     key = F.struct("doc_id", "text_key")
     dealt = dealt.withColumn("text_key", F.xxhash64("text"))
@@ -164,7 +169,7 @@ def with_next(docs: DataFrame, per_range: int = 1000) -> tuple[DataFrame, int]:
 
 def fingerprints(docs: DataFrame, *, samples: int = 64, per_range: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, its edited text's, and likenesses; see the query."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    docs = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     dealt, parts = with_next(docs, per_range)
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "follows", "doc_id", "text_key").select("part", "follows", "doc_id", "text")
 

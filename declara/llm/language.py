@@ -14,14 +14,21 @@ Training: expected piece counts (forward and backward over all segmentations)
 of the word counts of each language, ``rounds`` times, with additive smoothing.
 Those counts come from a sample of at most about ``per_language`` documents of
 each language (a documented bound, by a hash of the id, so that it is the same
-in every run); the model holds a number per piece and language.
+in every run); all their words count. The model holds a number per piece and
+language.
 
 The prediction reads nothing but the text. Its score is the posterior with
 equal priors on the likelihood per word times ``min(words, 30)``, so that long
 texts do not all saturate at 1.
 
+Words are found in the same way to learn and to predict: runs of letters (the
+Unicode category L) of the lower-cased text.
+
 Defined results: null text, or one without a letter, is ``und`` with score 0;
-labels of null text teach nothing; without any labelled text all is ``und``.
+labels of null text teach nothing; without any labelled text all is ``und``;
+languages that tie are told by the first of their names; each row, equal ones
+too, gives one row; texts of any length are scored whole; carried columns keep
+their names, but for ``lang_pred`` and ``score``, which are replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pack import Cache
+from .common import quoted
+from .kept import held
 
 WORDS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -44,6 +52,17 @@ FLOOR = 1e-9
 UNDETERMINED = "und"
 
 
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters, lower-cased."""
+    out = []
+    for word in WORDS.findall((text or "").lower()):
+        if word.isalpha():
+            out.append(word)
+        else:  # with signs such as a superscript, which are no digits to the expression
+            out += "".join(c if c.isalpha() else " " for c in word).split()
+    return out
+
+
 def vocabulary(path: str) -> list[str]:
     """The pieces whose text is lower case and letters, but for the word mark."""
     import sentencepiece
@@ -172,7 +191,7 @@ def in_sample(fraction: Column, *key: Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < fraction * (1 << 20)
 
 
-def train(labelled: DataFrame, pieces: list[str], *, per_language: int = 800, max_words: int = 150_000, rounds: int = 2) -> Model:
+def train(labelled: DataFrame, pieces: list[str], *, per_language: int = 800, rounds: int = 2) -> Model:
     """labelled: (doc_id, text, lang). Texts are sampled whole."""
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNDETERMINED))
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
@@ -181,19 +200,28 @@ def train(labelled: DataFrame, pieces: list[str], *, per_language: int = 800, ma
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1))
-    counted = usable.where(in_sample(share, F.col("doc_id"))).select("lang", F.explode(words).alias("word")).groupBy("lang", "word").count()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language-words", dict)
+        for batch in batches:
+            counts: Counter = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts.update((lang, w) for w in words_of(text.as_py()))
+            langs, words = zip(*counts) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
+
+    counted = usable.where(in_sample(share, F.col("doc_id"))).select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     by_language: dict[str, Counter] = {lang: Counter() for lang in sizes}
     for r in counted.toLocalIterator():  # bounded by the sample
-        by_language[r["lang"]][r["word"]] = r["count"]
-    return learn({k: Counter(dict(v.most_common(max_words))) for k, v in by_language.items()}, pieces, rounds=rounds)
+        by_language[r["lang"]][r["word"]] = r["n"]
+    return learn(by_language, pieces, rounds=rounds)
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
     """The ``carried`` columns (by default doc_id) with lang_pred and score, for every row."""
-    carried = carried or ["doc_id"]
+    carried = [c for c in carried or ["doc_id"] if c.lower() not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # pieces times languages
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*map(quoted, carried)).schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
@@ -202,36 +230,36 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", carried: l
             told = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *told], names=[*carried, "lang_pred", "score"])
 
-    return docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried))).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(quoted(text_col).alias("text"), *(quoted(c).alias(f"carried_{i}") for i, c in enumerate(carried))).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 class Scorer:
     """Scores texts in portions of some ``portion`` letters; words are scored once while they are remembered."""
 
-    def __init__(self, model: Model, portion: int = 1_000_000, remembered: int = 400_000):
+    def __init__(self, model: Model, portion: int = 1_000_000, remembered: int = 200_000):
         self.model, self.portion, self.remembered = model, portion, remembered
         self.known: dict[str, int] = {}
         self.rows = np.empty((0, len(model.languages)))
 
     def texts(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
-        held, size = [], 0
+        waiting, size = [], 0
         for text in texts:
-            held.append(WORDS.findall(text.lower()) if text and self.model.languages else [])
+            waiting.append(words_of(text) if self.model.languages else [])
             size += len(text or "")
             if size >= self.portion:
-                yield from self._scored(held)
-                held, size = [], 0
-        yield from self._scored(held)
+                yield from self._scored(waiting)
+                waiting, size = [], 0
+        yield from self._scored(waiting)
 
-    def _scored(self, held: list[list[str]]) -> Iterator[tuple[str, float]]:
+    def _scored(self, waiting: list[list[str]]) -> Iterator[tuple[str, float]]:
         if len(self.known) > self.remembered:
             self.known, self.rows = {}, self.rows[:0]
-        new = list({w for words in held for w in words if w not in self.known})
+        new = list({w for words in waiting for w in words if w not in self.known})
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.rows = np.vstack([self.rows, self.model.words(new)])
         get = self.known.__getitem__
-        for words in held:
+        for words in waiting:
             if not words:
                 yield UNDETERMINED, 0.0
                 continue
@@ -240,16 +268,9 @@ class Scorer:
             yield self.model.languages[int(mean.argmax())], float(1.0 / odds.sum())
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer:
     """The last model's, kept between tasks for its words."""
-    key = hash(shared.value)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(pickle.loads(shared.value))
-    return _scorers[key]
+    return held(("language", hash(shared.value)), lambda: Scorer(pickle.loads(shared.value)))
 
 
 def identify(docs: DataFrame, labelled: DataFrame, *, carried: list[str] | None = None, vocabulary_path: str | None = None, per_language: int = 800, rounds: int = 2) -> DataFrame:

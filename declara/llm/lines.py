@@ -1,12 +1,11 @@
 """Line dedup: near-equal lines by a deletion-neighbourhood join.
 
-A line's form is its words, A-Z lower-cased. Lines with fewer than ``min_words``
-words (blank ones too) are structure and stay; with ``short_repeats`` those not
-blank are removed as well where an earlier one has the same form, without edits.
-Of the others, a line is removed
-if an earlier one, by (doc_id, line number), has a form within ``max_edits``
-(0 or 1) word insertions, deletions or replacements. Whether the earlier line
-was itself removed makes no difference.
+A line's form is its words, A-Z lower-cased. Blank lines stay. A line of fewer
+than ``min_words`` words is removed if an earlier one, by (doc_id, line number),
+has the same form (with ``short_repeats=False``, for code or tables, all of them
+stay). A longer line is removed if an earlier longer one has a form within
+``max_edits`` (0 or 1) word insertions, deletions or replacements. Whether the
+earlier line was itself removed makes no difference.
 
 * Lines with equal forms are one class with one earliest place.
 * Two forms are one edit apart only if they agree in a first or in a last half
@@ -19,12 +18,16 @@ was itself removed makes no difference.
   word short of all others of the key: it settles the later ones, and the
   earliest of them settles it. That is every pair that matters, at a number of
   comparisons that grows with the variants; each is verified on the words.
-* Texts are dealt by doc_id twice, for the variants and for the result, by the
-  same plan at every size.
-
-Defined results: null text stays null; line ends are ``\\n``; extra columns are
-carried along. Each row is judged by itself: rows without a doc_id, and those
-that share one, come after all others, by doc_id and text.
+* A line or variant that a third of all rows have is a hot key: what it is
+  joined with is a stored table, one row a key, so the join can be split.
+* Of the texts only those with a line to vary, then those with a line to remove,
+  are shuffled; a bitmap of bounded size tells them from the rest.
+
+Defined results: null text stays null, empty text empty; line ends are ``\\n``;
+equal lines of one text are repeats like any others; extra columns are carried
+along, but for ``n_lines`` and ``n_removed``, which are replaced. Each row is
+judged by itself: rows without a doc_id, and those that share one, come after
+all others, by doc_id and text, so of equal rows one keeps its lines.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_keys, stored
+from .common import Carried, let, marks_of, own_keys, perhaps_in, stored
+from .kept import held
 from .near_dup import mixed
 
 LINES = "doc_id long, line int, form long, half array<long>"
@@ -47,10 +51,6 @@ def words_of(line: str) -> list[bytes]:
     return line.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _chain(hashes: list[int]) -> int:
-    return xxhash.xxh3_64_intdigest(np.array(hashes, np.uint64).tobytes()) if hashes else 0
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -97,6 +97,7 @@ def near(a: list[bytes], b: list[bytes], edits: int) -> bool:
 
 def _lines(docs: DataFrame, min_words: int, short_repeats: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("lines", dict)
         for batch in batches:
             ids, at, forms, half = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -142,47 +143,59 @@ def _near(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
-def repeated_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5, short_repeats: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5, short_repeats: bool = True) -> DataFrame:
     """(doc_id, gone array<int>): numbers of the lines to remove. docs: (doc_id, text), ids distinct."""
+    if max_edits not in (0, 1):
+        raise ValueError("max_edits must be 0 or 1: a line's variants leave out one word at most")
     lines = stored(_lines(docs, min_words, short_repeats), "lines")
     first = F.min(F.struct("doc_id", "line")).alias("first")
     known = [F.first("half").alias("half")] if max_edits else []  # the same for all lines of a form
     classes = stored(lines.groupBy("form").agg(first, F.count("*").alias("n"), *known), "classes")
-    spent = None
-    if max_edits:
-        half = classes.select("form", F.explode("half").alias("key"))
-        shared = half.groupBy("key").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo < hi").select("key")
-        some = half.join(shared, "key", "left_semi").select("form").distinct()
-        wanted = classes.join(some, "form", "left_semi").groupBy("first.doc_id").agg(F.collect_list("first.line").alias("wanted"))
-        varied = _variants(docs.hint("merge").join(wanted, "doc_id").select("doc_id", "text", "wanted"))
-        varied = stored(varied, "variants")
-        keyed = varied.select("form", "doc_id", "line", F.posexplode("keys").alias("place", "key")).withColumn("place", F.col("place") - 1)
-        shared = keyed.groupBy("key").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo < hi").select("key")
-        at = F.struct("doc_id", "line", "form").alias("at")
-        keyed = stored(keyed.join(shared, "key", "left_semi").select("key", "place", at), "keyed")
-        longer, whole = keyed.where("place >= 0"), keyed.where("place < 0").groupBy("key").agg(F.min("at").alias("whole"))
-        leads = longer.groupBy("key", "place").agg(F.min("at").alias("lead"))
-        replaced = longer.join(leads, ["key", "place"]).select(F.col("lead").alias("early"), F.col("at").alias("late"))
-        inserted = longer.join(whole, "key").select(F.col("whole").alias("early"), F.col("at").alias("late"))
-        deleted = leads.groupBy("key").agg(F.min("lead").alias("early")).join(whole, "key").select("early", F.col("whole").alias("late"))
-        tried = replaced.union(inserted).union(deleted).where("early < late").select(F.col("early.form").alias("a"), F.col("late.form").alias("b")).distinct()
-        spent = _near(tried, varied.select("form", "words")).select(F.col("b").alias("form")).distinct()
     marked = classes.select("form", "first", "n")
-    marked = marked.join(spent.withColumn("spent", F.lit(True)), "form", "left") if spent is not None else marked.withColumn("spent", F.lit(None).cast("boolean"))
-    marked = marked.where("n > 1 or spent")
+    if max_edits:
+        spent = _settled_by_variants(docs, classes).withColumn("spent", F.lit(True))
+        marked = marked.join(spent, "form", "left")
+    else:
+        marked = marked.withColumn("spent", F.lit(None).cast("boolean"))
+    marked = stored(marked.where("n > 1 or spent"), "marked")
     gone = lines.join(marked, "form").where(F.coalesce("spent", F.lit(False)) | (F.struct("doc_id", "line") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5, short_repeats: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _settled_by_variants(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(form): those that are one edit from an earlier one."""
+    half = classes.select("form", F.explode("half").alias("key"))
+    shared = half.groupBy("key").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo < hi").select("key")
+    some = half.join(stored(shared, "shared"), "key", "left_semi").select("form").distinct()
+    wanted = classes.join(some, "form", "left_semi").groupBy("first.doc_id").agg(F.collect_list("first.line").alias("wanted"))
+    wanted = stored(wanted, "wanted")
+    texts, _ = perhaps_in(docs, "doc_id", stored(marks_of(wanted, "doc_id"), "marks"))
+    varied = stored(_variants(texts.hint("merge").join(wanted, "doc_id").select("doc_id", "text", "wanted")), "variants")
+    keyed = varied.select("form", "doc_id", "line", F.posexplode("keys").alias("place", "key")).withColumn("place", F.col("place") - 1)
+    shared = keyed.groupBy("key").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo < hi").select("key")
+    at = F.struct("doc_id", "line", "form").alias("at")
+    keyed = stored(keyed.join(stored(shared, "shared"), "key", "left_semi").select("key", "place", at), "keyed")
+    longer, whole = keyed.where("place >= 0"), keyed.where("place < 0").groupBy("key").agg(F.min("at").alias("whole"))
+    leads = stored(longer.groupBy("key", "place").agg(F.min("at").alias("lead")), "leads")
+    whole = stored(whole, "whole")
+    replaced = longer.join(leads, ["key", "place"]).select(F.col("lead").alias("early"), F.col("at").alias("late"))
+    inserted = longer.join(whole, "key").select(F.col("whole").alias("early"), F.col("at").alias("late"))
+    deleted = leads.groupBy("key").agg(F.min("lead").alias("early")).join(whole, "key").select("early", F.col("whole").alias("late"))
+    tried = replaced.union(inserted).union(deleted).where("early < late").select(F.col("early.form").alias("a"), F.col("late.form").alias("b")).distinct()
+    return _near(tried, varied.select("form", "words")).select(F.col("b").alias("form")).distinct()
+
+
+def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5, short_repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated lines, and ``n_lines``, ``n_removed``."""
-    owned, _ = own_keys(docs, "ll_key", id_col, text_col)
-    keyed = owned.select(F.col("ll_key").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    gone = stored(repeated_lines(keyed, max_edits=max_edits, min_words=min_words, short_repeats=short_repeats), "gone").select(F.col("doc_id").alias("ll_doc"), "gone")
-    found = owned.hint("merge").join(gone, F.col("ll_key") == F.col("ll_doc"), "left")
-    lines = F.split(F.col(text_col), "\n")
-    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains("gone", p.i))
-    rest = F.array_join(F.transform(numbered, lambda p: p.x), "\n")
-    out = found.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(rest))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    table = Carried(docs, id_col, text_col, ("n_lines", "n_removed"))
+    owned, _ = own_keys(table.rows, "own", "id", "text")
+    keyed = owned.select(F.col("own").alias("doc_id"), "text").where("text is not null")
+    gone = stored(repeated_lines(keyed, max_edits=max_edits, min_words=min_words, short_repeats=short_repeats), "gone")
+    some, others = perhaps_in(owned, "own", stored(marks_of(gone, "doc_id"), "marks"))
+    found = some.hint("merge").join(gone, F.col("own") == F.col("doc_id"), "left").unionByName(others.withColumn("gone", F.lit(None).cast("array<int>")), allowMissingColumns=True)
+    lines = F.split("text", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    rest = let(lines, lambda all_lines: F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n"))
+    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines")
+    found = found.select("id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text"), "rest", n_lines, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return table.out(found, F.col("n_lines"), F.col("n_removed"))

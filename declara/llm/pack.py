@@ -17,7 +17,8 @@ them. Ids are cached by word (white space and letter runs end this vocabulary's
 tokens), in two generations of bounded size.
 
 Defined results: null or empty text is its end id alone; repeated rows are
-packed as often as they occur; a null ``doc_id`` is carried along.
+packed as often as they occur; an id may be of any type or null, and is carried
+along; an empty table has no pieces; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,28 +32,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+from .common import quoted
+from .kept import Cache, held
+
+COUNTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 #: Letters that lower-case one to one and are stable under NFC; then marks, but for the one of contractions.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
-CACHE = 250_000
-
-
-class Cache:
-    """A map of two generations: the older one is dropped when the newer is full."""
-
-    def __init__(self, most: int = CACHE):
-        self.most, self.new, self.old = most, {}, {}
-
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
 
 
 class WordTokenizer:
@@ -62,7 +47,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.runs = Cache(), Cache(600_000)
+        self.chunks, self.runs = Cache(200_000), Cache(200_000)
 
     def encode(self, text: str) -> bytes:
         known, out = self.chunks.new, []
@@ -189,35 +174,32 @@ class Packer:
 def pack(docs: DataFrame, tokenizer_path: str | None = None, *, capacity: int = 4096, end_id: int = 2, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their places in sequences; see the module."""
 
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
+        if tokenizer_path is None:
+            import public_tokenizers
 
-        tokenizer = _tokenizer(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+            path = public_tokenizers.path("word_bpe_49k.json")
+        else:
+            path = tokenizer_path
+        tokenizer = held(("pack", path), lambda: WordTokenizer(path))
         packer = Packer(TaskContext.get().partitionId() << 40, capacity, window)
-        end, rows = end_id.to_bytes(4, "little"), []
+        end, rows, ids = end_id.to_bytes(4, "little"), [], pa.null()
         for batch in batches:
+            ids = batch.column(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows += packer.add(doc_id, tokenizer.encode(text.as_py() or "") + end)
                 if len(rows) >= 20_000:
-                    yield _batch(rows)
+                    yield _batch(rows, ids)
                     rows = []
         rows += packer.close()
         if rows:
-            yield _batch(rows)
-
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
-
-
-_ARROW = pa.schema([(name.split()[0], pa.int64()) for name in SCHEMA.split(", ")])
-_loaded: dict[str, WordTokenizer] = {}
-
+            yield _batch(rows, ids)
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_ARROW)
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process, which serves many tasks."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def _batch(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
+    first, *others = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(first, ids), *(pa.array(c, pa.int64()) for c in others)], names=["doc_id", *COUNTS])

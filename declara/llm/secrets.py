@@ -12,8 +12,10 @@ rules have stricter forms: issuer tokens whose last six characters are the
 base-62 CRC-32 of what precedes them, JSON web tokens whose header decodes to an
 object, and private key blocks.
 
-Defined results: null text is empty; offsets are code points, ends exclusive;
-equal rows give equal results.
+Defined results: null text is empty, and an empty text has no spans; offsets are
+code points, ends exclusive; spans of several kinds may overlap; each row, equal
+ones too, gives one row; ids may be null or of any type; other columns are not
+read; the time for a text grows with its length, whatever it holds.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import quoted
+from .kept import held
+
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,6 +59,8 @@ class Rule:
     keywords: tuple[str, ...]
     pattern: re.Pattern
     valid: Callable[[re.Match], bool]
+    #: Where the expression fails, it fails at any later keyword of this run too, so the run is read once.
+    run: re.Pattern | None = None
 
 
 #: In the order in which kinds are listed.
@@ -67,7 +74,7 @@ RULES = (
     Rule("access", ("akia",), re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
     Rule("hex", (), re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
     Rule("issued", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{36})(?![0-9A-Za-z])"), crc_token),
-    Rule("web", ("eyj",), re.compile(r"(eyJ[\w-]+)\.[\w-]+\.[\w-]+", re.A), web_token),
+    Rule("web", ("eyj",), re.compile(r"(eyJ[\w-]++)\.[\w-]++\.[\w-]++", re.A), web_token, re.compile(r"[\w-]+", re.A)),
     Rule("key", ("-----begin ",), re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s\\n]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"), lambda m: True),
 )
 ORDER = {rule.kind: i for i, rule in enumerate(RULES)}
@@ -115,21 +122,28 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     hits = sorted((at - size + 1, i) for at, (i, size) in automaton().iter(folded(text)))
     found, ends = [("hex", m.start(), m.end()) for m in hex_runs(text)], [0] * len(RULES)
     for start, i in hits:
-        if start >= ends[i] and (m := RULES[i].pattern.match(text, start)):
+        if start < ends[i]:
+            continue
+        rule = RULES[i]
+        if m := rule.pattern.match(text, start):
             ends[i] = m.end()
-            if RULES[i].valid(m):
-                found.append((RULES[i].kind, start, m.end()))
+            if rule.valid(m):
+                found.append((rule.kind, start, m.end()))
+        elif rule.run:
+            ends[i] = m.end() if (m := rule.run.match(text, start)) else start
     return sorted(found, key=lambda f: (f[1], ORDER[f[0]], f[2]))
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<kind, start, end>>) of every row."""
-    kind = dict(docs.dtypes)[id_col]
+    kind = docs.select(quoted(id_col)).schema[0].dataType.simpleString()
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("secrets", dict)
         for batch in batches:
             spans = [[dict(zip(("kind", "start", "end"), f)) for f in scan(t.as_py())] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, struct)], names=[id_col, "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, struct)], names=["id", "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, spans array<struct<kind:string,start:long,end:long>>")
+    found = docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>")
+    return found.withColumnRenamed("id", id_col)

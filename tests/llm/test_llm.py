@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import re
@@ -39,8 +40,8 @@ def test_decontaminate(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     window = " ".join(items[0][1].split()[2:12])
     docs = awkward(spark).select("doc_id", "text").union(spark.createDataFrame([(20, f"x, y {window.upper().replace('É', 'é')}. z"), (21, "a ONLY four, short words b only four short"), (22, window[: len(window) - 6])], DOCS))
-    for limit in (500_000, 0):
-        got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench, broadcast_rows=limit).collect()}
+    for limit in (64_000_000, 0):
+        got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench, broadcast_bytes=limit).collect()}
         assert len(got) == docs.count()
         assert (got[20]["n_hit"], got[20]["items"]) == (10, ["1"]) and (got[21]["n_hit"], got[21]["items"]) == (4, ["2"])
         assert all(got[i]["n_hit"] == 0 for i in (1, 2, 3, 4, 22)) and got[1]["n_words"] == 0 and got[4]["n_words"] == 6
@@ -54,11 +55,22 @@ def test_chat(spark):
     back = {r["conv_id"]: r for r in out.select("conv_id", chat.parse_chat(F.col("formatted")).alias("t"), chat.masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()}
     assert [tuple(t) for t in back[1]["t"]] == [("user", turns[0][3]), ("assistant", turns[1][3]), ("", ""), ("odd\nrole\\n", "é")]
     assert back[1]["loss"] == turns[1][3] and back[2]["loss"] == "" and len(back) == 3
-    records = ['{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"prompt":"q","completion":"a","more":1}', '{"instruction":"q","input":"","output":"a"}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"prompt":"q","response":"a"}']
+    records = [
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"prompt":"q","completion":"a","more":1}', '{"instruction":"q","input":"","output":"a"}',
+        '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"prompt":"q","response":"a"}', '{"instruction":"q","input":null,"output":"a","text":"all of it"}',
+        '{"instruction":"q","output":"a"}', '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}],"prompt":"other"}', '{"question":"q","answer":"a","turn":1}',
+        '{"instruction":"q","context":"","response":"a","category":"x"}', '{"messages":[{"role":"user"},{"role":"assistant","content":"a"}]}', '{"prompt":"q","completion":null}', '{"messages":[],"id":3}',
+    ]
     df = spark.createDataFrame(list(enumerate([*records, '{"z":1}', "no json", None])), "i long, raw string")
     made = {r["conv_id"]: r for r in chat.format_chats(chat.from_records(df, "i", "raw")).collect()}
-    assert {made[i]["formatted"] for i in range(5)} == {"<s>user\nq</s><s>assistant\na</s>"}
-    assert all(made[i]["layout"] == "unknown" and made[i]["n_turns"] == 0 for i in (5, 6, 7))
+    assert {made[i]["formatted"] for i in range(10)} == {"<s>user\nq</s><s>assistant\na</s>"}
+    assert made[10]["formatted"] == "<s>user\n</s><s>assistant\na</s>" and made[11]["formatted"] == "<s>user\nq</s><s>assistant\n</s>"
+    assert made[12]["layout"] == "no_messages" and made[12]["n_turns"] == 0
+    assert all(made[i]["layout"] == "unknown" and made[i]["n_turns"] == 0 for i in (13, 14, 15)) and made[13]["raw"] == '{"z":1}' and made[3]["raw"] is None
+    again = spark.createDataFrame([(None, records[0]), (None, records[1]), (5, records[0]), (5, records[2])], "i long, raw string")
+    assert [r["n_turns"] for r in chat.format_chats(chat.from_records(again, "i", "raw")).collect()] == [2] * 4
+    table = spark.createDataFrame([(1, "q", "a", "x"), (2, "q", None, "x")], "conv_id long, prompt string, completion string, role string")
+    assert rows(chat.format_chats(chat.canonical(table)), "conv_id", "formatted") == [(1, "<s>user\nq</s><s>assistant\na</s>"), (2, "<s>user\nq</s><s>assistant\n</s>")]
 
 
 def test_pii(spark):
@@ -165,14 +177,58 @@ def test_warc(spark):
     assert got == sorted([(None, 1, "response", None), (3, 1, "revisit", None), (4, 0, "response", None), (5, 0, "revisit", 4), (5, 0, "revisit", 4), (6, 10000, "response", None), (9, 10000, "revisit", 6)], key=str)
     assert warc.round_trip(df, least_bytes=2).where("record_type = 'revisit'").count() == 1
     assert warc.round_trip(df.limit(0)).isEmpty()
+    assert rows(warc.round_trip(df, per_package=2), "page_id", "payload_bytes", "record_type", "refers_to") == got
     for force64 in (False, True):
         f = io.BytesIO()
-        warc.write_package(f, [({"k": i}, b"r%d" % i * i) for i in range(50)], force64=force64)
-        assert zipfile.ZipFile(f).testzip() is None and [r for _, r in warc.read_package(f)] == [b"r%d" % i * i for i in range(50)]
+        warc.write_package(f, [({"url": f"http://b.a/{i % 7}"}, b"r%d" % i * i) for i in range(50)], force64=force64)
+        assert zipfile.ZipFile(f).testzip() is None and sorted(r for _, r in warc.read_package(f)) == sorted(b"r%d" % i * i for i in range(50))
+        lines = zipfile.ZipFile(f).read("indexes/index.cdxj").decode().splitlines()
+        assert lines == sorted(lines) and all(x.startswith("a,b)/") for x in lines)
     with pytest.raises(ValueError):
         warc.directory(io.BytesIO(b"nothing"))
 
 
+def foreign(index="indexes/index.cdx.gz", method=zipfile.ZIP_STORED, **more):
+    """A package as other tools make them: two archives, one not gzipped, text before the key's JSON, members in another order."""
+    made = [warc.record(i, f"http://h/{i}", b"p%d" % i, 2, warc.base32_sha1(b"p%d" % i), None, False) for i in range(6)]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 4\r\n\r\na: b\r\n\r\n"
+    one, two, lines = b"", b"", []
+    for i, raw in enumerate([info, *made[:3]]):
+        data = gzip.compress(raw)
+        if i:
+            lines.append(f'h)/{i - 1} 20240101000000 {{"url": "http://h/{i - 1}", "offset": "{len(one)}", "length": "{len(data)}", "filename": "one.warc.gz"}}')
+        one += data
+    for i, raw in enumerate(made[3:], 3):
+        lines.append(f'h)/{i} 20240101000000 {{"offset": {len(two)}, "length": {len(raw)}, "filename": "two.warc"}}')
+        two += raw
+    lines += more.get("lines", [])
+    text = "".join(f"{x}\n" for x in lines).encode()
+    f = io.BytesIO()
+    with zipfile.ZipFile(f, "w", method) as z:
+        z.writestr("pages/pages.jsonl", "{}")
+        if index:
+            z.writestr(index, gzip.compress(text[:100]) + gzip.compress(text[100:]) if index.endswith("gz") else b"!meta 0 {}\n" + text)
+        z.writestr("archive/two.warc", two)
+        z.writestr("archive/one.warc.gz", one)
+    return f, made, info
+
+
+def test_foreign_packages(spark, tmp_path):
+    for index in ("indexes/index.cdx.gz", "indexes/index.cdxj"):
+        f, made, _ = foreign(index)
+        assert sorted(r for _, r in warc.read_package(f, at_once=2)) == made
+    f, made, info = foreign(None)
+    assert sorted(r for _, r in warc.read_package(f)) == sorted([info, *made])
+    for bad in ({"method": zipfile.ZIP_DEFLATED}, {"lines": ['x 1 {"offset": 0, "length": 99999, "filename": "two.warc"}']}, {"lines": ["com,x)/ 2024 text/html"]}, {"lines": ['x 1 {"offset": 0, "length": 1, "filename": "no.warc"}']}):
+        with pytest.raises(ValueError):
+            list(warc.read_package(foreign(**bad)[0]))
+    (tmp_path / "x.wacz").write_bytes(f.getvalue())
+    got = warc.read_archives(spark.createDataFrame([(f"{tmp_path}/x.wacz",)], "path string")).collect()
+    assert sorted(r["record_type"] for r in got) == ["response"] * 6 + ["warcinfo"] and {bytes(r["payload"]) for r in got} == {b"a: b", *(b"p%d" % i for i in range(6))}
+    with pytest.raises(ValueError):
+        warc._told(warc.parse(made[0].replace(b"p0", b"zz")))
+
+
 def test_language(spark):
     pieces = ["▁", *"abcdefgh", "▁ab", "cd", "abc", "▁gh"]
     model = language.learn({"x": Counter({"abcd": 5, "cdcd": 2}), "y": Counter({"ghgh": 4, "efgh": 3})}, pieces)
@@ -219,10 +275,12 @@ def test_lines(spark):
     far = " ".join(w[:3] + ["one", "two"] + w[5:])
     texts = [(1, f"head\n{line}\nhead"), (2, "\n".join(["head", *variants, far])), (3, None), (4, ""), (5, "a b c d\na b c d"), (6, prose(5000))]
     df = spark.createDataFrame(texts, DOCS).withColumn("form", F.lit(1))
-    got = {r["doc_id"]: r for r in lines.dedup_lines(df).collect()}
+    got = {r["doc_id"]: r for r in lines.dedup_lines(df, short_repeats=False).collect()}
     assert got[1]["text"] == texts[0][1] and got[2]["text"] == f"head\n{far}" and got[2]["n_removed"] == 4
     assert [got[i]["text"] for i in (3, 4, 5, 6)] == [t for _, t in texts[2:]]
-    assert lines.dedup_lines(df, max_edits=0).agg(F.sum("n_removed")).first()[0] == 1
+    assert lines.dedup_lines(df, max_edits=0, short_repeats=False).agg(F.sum("n_removed")).first()[0] == 1
+    with pytest.raises(ValueError):
+        lines.dedup_lines(df, max_edits=2)
     words = [x.encode() for x in w]
     for i in range(30):
         assert set(lines.variants(words)) & set(lines.variants(words[:i] + words[i + 1 :]))
@@ -326,7 +384,7 @@ def test_pii_phones_and_names(spark):
 
 def test_short_lines(spark):
     df = spark.createDataFrame([(1, "All rights reserved.\n\nx"), (2, "all  RIGHTS reserved.\nall rights\n\ny"), (3, "a b c d e\na b c d")], DOCS)
-    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df, short_repeats=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
     assert got == {1: "All rights reserved.\n\nx", 2: "all rights\n\ny", 3: "a b c d e\na b c d"}
 
 
@@ -346,8 +404,8 @@ def test_decontaminate_shared_ids(spark):
     passage, other = "one two three four five six seven eight nine ten", prose(20)
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"x {passage}"), (1, other), (None, f"{passage} y z"), (None, "clean"), (None, None)], DOCS)
-    for limit in (500_000, 0):
-        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"]) for r in decontaminate.decontaminate(docs, bench, broadcast_rows=limit).collect()), key=str)
+    for limit in (64_000_000, 0):
+        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"]) for r in decontaminate.decontaminate(docs, bench, broadcast_bytes=limit).collect()), key=str)
         assert got == sorted([(1, 11, 10), (1, 20, 0), (None, 12, 10), (None, 1, 0), (None, 0, 0)], key=str)
 
 

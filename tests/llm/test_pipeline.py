@@ -33,11 +33,11 @@ def edits_at_most_one(a, b):
 
 def plain_lines(texts):
     places = [(doc, i, tuple(line.encode().lower().split())) for doc in sorted(texts) if texts[doc] is not None for i, line in enumerate(texts[doc].split("\n"))]
-    places = [p for p in places if len(p[2]) >= 5]
+    places = [p for p in places if p[2]]
     first = {}
     for doc, i, words in places:
         first.setdefault(words, (doc, i))
-    forms, near = list(first), set()
+    forms, near = [words for words in first if len(words) >= 5], set()
     for k, b in enumerate(forms):
         if any(abs(len(a) - len(b)) < 2 and (a[:1] == b[:1] or a[-1:] == b[-1:]) and edits_at_most_one(a, b) for a in forms[:k]):
             near.add(b)
@@ -126,3 +126,27 @@ def test_rows_without_own_ids(spark, tmp_path):
     assert told(corpus_pipeline.lines(spark, docs, str(tmp_path))) == once
     assert told(corpus_pipeline.near_dedup(spark, docs, str(tmp_path))) == once
     assert told(corpus_pipeline.decontamination(spark, docs, str(tmp_path))) == sorted(data[1:], key=str)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Each stage on nulls, empty and long texts, columns with names that stages use, and no rows at all."""
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"word{i}" for i in range(50_000))
+    data = [(1, None, "en"), (2, "", "en"), (3, "\n \n", None), (4, long, "en"), (5, "the cat sat on the mat and it was there", "en"), (6, "12 34", "de"), (7, "x " + "one two three four five six seven eight nine ten", "en")]
+    names = ("id", "key", "rest", "gone", "own", "score", "lang_pred", "n_lines", "kept", "row_key", "digest", "n_removed", "seeds", "doc")
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").select("*", *(spark_lit(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, docs, str(tmp_path)), stage(spark, docs.limit(0), str(tmp_path))
+        ids = sorted({r["doc_id"] for r in got.select("doc_id").collect()})
+        assert none.isEmpty()
+        if name != "packing":
+            assert got.columns == none.columns == docs.columns
+        assert set(ids) <= set(range(1, 8)) and ids == {"language": ids, "decontamination": [1, 2, 3, 4, 5, 6]}.get(name, [1, 2, 3, 4, 5, 6, 7])
+        if name == "language":
+            assert not {1, 2, 3, 6} & set(ids) and 5 in ids
+
+
+def spark_lit(name):
+    from pyspark.sql import functions as F
+
+    return F.lit("x").alias(name)
