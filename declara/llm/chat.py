@@ -1,15 +1,12 @@
 """Chat formatting: schema fingerprints choose a mapping to canonical turns; a reversible template.
 
-A layout is known by its fingerprint, a hash over the sorted paths of its nested
-fields. For a table the paths come from its schema; for a column of JSON records
-they are taken from each record, so records of several layouts can be mixed. A
-mapping is declarative: where the role and the text of each turn are found.
-
-    turn rows   conv_id, turn, role, text             one row a turn
-    messages    messages[].role, messages[].content   one row a conversation
-    from/value  conversations[].from, .value
-    prompt      prompt, completion | prompt, response
-    instruction instruction, input, output
+A mapping is declarative: the paths of nested fields that it needs, and where the
+role and the text of each turn are found. Its fingerprint is a hash over its
+sorted paths. A layout's paths are projected on those of each mapping in turn,
+and the hash of what is left chooses the first mapping whose fingerprint it is;
+fields that a mapping doesn't name make no difference. For a table the paths come
+from its schema; for a column of JSON records they are taken from each record
+(from all entries of its lists), so records of several layouts can be mixed.
 
 Template: ``<s>`` role newline text ``</s>`` for each turn. Within roles and
 texts a backslash is doubled and the control strings get one inside
@@ -22,41 +19,62 @@ All of it is DataFrame expressions. The turns of a conversation are numbered by
 a window and gathered in one row, which is the result itself.
 
 Defined results: null text or role is empty; turns with one number follow by
-role and text; rows without a conversation id form one conversation; unknown
-layouts are kept with an empty list of turns and named in ``layout``; a null
-record likewise; extra columns and fields have no part in a fingerprint that a
-mapping asks for, unless they collide with its paths.
+role and text, and repeated turns stay; a turn row without a conversation id is a
+conversation of its own, as nothing says with which others it belongs, and so is
+each record, whether or not others have its id; a record that fits no mapping, or
+a null one, has no turns: its layout is ``unknown``, and its text stays in
+``raw``; a list of messages without entries is a conversation without turns; a
+table without rows has no conversations; extra columns and fields have no part.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import quoted
+
 TURN = "struct<role:string,text:string>"
 CONTROL = r"(<|\[)(/?(?:s>|INST\]))"
-#: Layout: (paths it needs, turns as SQL over a parsed record `r`).
+UNKNOWN = "unknown"
+
+
+def _pair(question: str, answer: str) -> str:
+    return f"array(named_struct('role', 'user', 'text', {question}), named_struct('role', 'assistant', 'text', {answer}))"
+
+
+def _entries(field: str, role: str, text: str) -> str:
+    known = f"CASE m.{role} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.{role} END"
+    return f"transform(r.{field}, m -> named_struct('role', {known}, 'text', m.{text}))"
+
+
+def _with(main: str, more: str) -> str:
+    """An instruction, and below a blank line what it is about, where there is any."""
+    return f"r.{main} || CASE WHEN coalesce(r.{more}, '') = '' THEN '' ELSE '\\n\\n' || r.{more} END"
+
+
+#: Layout: (paths it needs, turns as SQL over a parsed record `r`), in the order in which they are tried.
 MAPPINGS: dict[str, tuple[tuple[str, ...], str]] = {
-    "messages": (("messages[].content", "messages[].role"), "transform(r.messages, m -> named_struct('role', m.role, 'text', m.content))"),
-    "from_value": (
-        ("conversations[].from", "conversations[].value"),
-        "transform(r.conversations, m -> named_struct('role', CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.`from` END, 'text', m.value))",
-    ),
-    "prompt_completion": (("completion", "prompt"), "array(named_struct('role', 'user', 'text', r.prompt), named_struct('role', 'assistant', 'text', r.completion))"),
-    "prompt_response": (("prompt", "response"), "array(named_struct('role', 'user', 'text', r.prompt), named_struct('role', 'assistant', 'text', r.response))"),
-    "instruction": (
-        ("input", "instruction", "output"),
-        "array(named_struct('role', 'user', 'text', r.instruction || CASE WHEN coalesce(r.input, '') = '' THEN '' ELSE '\\n\\n' || r.input END), named_struct('role', 'assistant', 'text', r.output))",
-    ),
+    "messages": (("messages[].content", "messages[].role"), _entries("messages", "role", "content")),
+    "from_value": (("conversations[].from", "conversations[].value"), _entries("conversations", "`from`", "value")),
+    "conversations": (("conversations[].content", "conversations[].role"), _entries("conversations", "role", "content")),
+    "prompt_completion": (("completion", "prompt"), _pair("r.prompt", "r.completion")),
+    "prompt_response": (("prompt", "response"), _pair("r.prompt", "r.response")),
+    "instruction": (("instruction", "output"), _pair(_with("instruction", "input"), "r.output")),
+    "instruction_response": (("instruction", "response"), _pair(_with("instruction", "context"), "r.response")),
+    "question_answer": (("answer", "question"), _pair("r.question", "r.answer")),
+    "no_messages": (("messages",), "array()"),
+    "no_conversations": (("conversations",), "array()"),
 }
 ROWS = ("conv_id", "role", "text", "turn")
+LISTS = ("messages", "conversations")
 PARSED = (
-    "struct<messages:array<struct<role:string,content:string>>,conversations:array<struct<`from`:string,value:string>>,"
-    "prompt:string,completion:string,response:string,instruction:string,input:string,output:string>"
+    "struct<messages:array<struct<role:string,content:string>>,conversations:array<struct<`from`:string,value:string,role:string,content:string>>,"
+    "prompt:string,completion:string,response:string,instruction:string,input:string,context:string,output:string,question:string,answer:string>"
 )
-#: Fields whose paths count: what any mapping asks for.
-FIELDS = sorted({p for paths, _ in MAPPINGS.values() for p in paths} | set(ROWS))
 
 
 def paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -68,54 +86,63 @@ def paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def fingerprint(found: list[str]) -> Column:
-    return F.xxhash64(F.lit("\n".join(sorted(set(found) & set(FIELDS)))))
+def fingerprint(found: list[str]) -> str:
+    return hashlib.md5("\n".join(sorted(set(found))).encode()).hexdigest()
+
+
+#: Fingerprint: mapping.
+BY_MARK = {fingerprint(list(needed)): name for name, (needed, _) in MAPPINGS.items()} | {fingerprint(list(ROWS)): "turn_rows"}
 
 
-def layout_of(mark: Column) -> Column:
-    """The mapping whose paths have this fingerprint, else 'unknown'."""
-    out = F.lit("unknown")
-    for name, (needed, _) in MAPPINGS.items():
-        out = F.when(mark == fingerprint(list(needed)), name).otherwise(out)
-    return F.when(mark == fingerprint(list(ROWS)), "turn_rows").otherwise(out)
+def mark_of(found: Column, needed: tuple[str, ...]) -> Column:
+    """The fingerprint of an array of paths, projected on those that a mapping needs."""
+    some = F.array_sort(F.array_intersect(found, F.array(*map(F.lit, needed))))
+    return F.md5(F.array_join(some, "\n").cast("binary"))
 
 
 def record_paths(record: Column) -> Column:
-    """The same for a JSON record: its top fields, and the fields of objects in their first entry."""
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    """The paths of a JSON record: its top fields, and the fields of objects in all entries of its lists."""
+    none = F.array().cast("array<string>")
+    top = F.coalesce(F.json_object_keys(record), none)
 
     def below(name: str) -> Column:
-        inner = F.transform(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), lambda k: F.concat(F.lit(f"{name}[]."), k))
-        return F.when(F.array_contains(top, name), F.coalesce(inner, F.array(F.lit(name)))).otherwise(F.array().cast("array<string>"))
+        entries = F.from_json(F.get_json_object(record, f"$.{name}"), "array<map<string,string>>")
+        inner = F.array_distinct(F.flatten(F.transform(F.filter(entries, lambda e: e.isNotNull()), lambda e: F.map_keys(e))))
+        named = F.transform(inner, lambda k: F.concat(F.lit(f"{name}[]."), k))
+        return F.when(F.array_contains(top, name), F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(name)))).otherwise(none)
 
-    nested = [below("messages"), below("conversations")]
-    flat = F.filter(top, lambda k: ~k.isin("messages", "conversations"))
-    wanted = F.array(*(F.lit(f) for f in FIELDS))
-    return F.array_sort(F.array_distinct(F.array_intersect(F.concat(flat, *nested), wanted)))
+    return F.array_distinct(F.concat(F.filter(top, lambda k: ~k.isin(*LISTS)), *map(below, LISTS)))
 
 
 def from_records(records: DataFrame, id_col: str, record_col: str) -> DataFrame:
-    """(conv_id, layout, schema_mark, turn, role, text) of JSON records of any known layouts."""
-    marked = records.select(F.col(id_col).alias("conv_id"), F.col(record_col).alias("raw"))
-    marked = marked.withColumn("schema_mark", F.xxhash64(F.array_join(record_paths(F.col("raw")), "\n")))
-    marked = marked.withColumn("layout", layout_of(F.col("schema_mark"))).withColumn("r", F.from_json("raw", PARSED))
+    """(conv_id, own, layout, schema_mark, raw, turn, role, text) of JSON records of any known layouts.
+
+    own: a number for each record; raw: the record where its layout is unknown.
+    """
+    marked = records.select(quoted(id_col).alias("conv_id"), F.monotonically_increasing_id().alias("own"), quoted(record_col).alias("raw"))
+    marked = marked.withColumn("paths", record_paths(F.col("raw")))
+    layout, mark = F.lit(UNKNOWN), F.md5(F.array_join(F.array_sort("paths"), "\n").cast("binary"))
+    for name, (needed, _) in reversed(MAPPINGS.items()):
+        own = mark_of(F.col("paths"), needed)
+        layout, mark = F.when(own == fingerprint(list(needed)), name).otherwise(layout), F.when(own == fingerprint(list(needed)), own).otherwise(mark)
+    marked = marked.withColumn("layout", layout).withColumn("schema_mark", mark).withColumn("r", F.from_json("raw", PARSED))
     turns = F.array().cast(f"array<{TURN}>")
     for name, (_, expression) in MAPPINGS.items():
         turns = F.when(F.col("layout") == name, F.expr(expression).cast(f"array<{TURN}>")).otherwise(turns)
-    marked = marked.select("conv_id", "layout", "schema_mark", F.posexplode_outer(turns).alias("turn", "t"))
-    return marked.select("conv_id", "layout", "schema_mark", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+    marked = marked.select("conv_id", "own", "layout", "schema_mark", F.when(F.col("layout") == UNKNOWN, F.col("raw")).alias("raw"), F.posexplode_outer(turns).alias("turn", "t"))
+    # A turn keeps its place even where neither role nor text is given.
+    there = lambda c: F.when(F.col("turn").isNotNull(), F.coalesce(c, F.lit("")))
+    return marked.select("conv_id", "own", "layout", "schema_mark", "raw", F.col("turn").cast("long").alias("turn"), there(F.col("t.role")).alias("role"), there(F.col("t.text")).alias("text"))
 
 
 def canonical(table: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """The same for a table, whose schema has one fingerprint for all rows."""
-    mark = fingerprint(paths(table.schema))
-    names = set(paths(table.schema))
-    needs = {"turn_rows": ROWS, **{k: v[0] for k, v in MAPPINGS.items()}}
-    name = next((k for k, v in needs.items() if set(v) == names & set(FIELDS)), "unknown")
-    if name == "turn_rows":
-        return table.select(F.col("conv_id"), F.lit(name).alias("layout"), mark.alias("schema_mark"), "turn", "role", "text")
-    packed = table.select(F.col(id_col).alias("conv_id"), F.to_json(F.struct(*(c for c in table.columns if c != id_col))).alias("raw"))
-    return from_records(packed, "conv_id", "raw")
+    found = set(paths(table.schema))
+    if BY_MARK.get(fingerprint([p for p in ROWS if p in found])) == "turn_rows":
+        own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("own")  # rows without an id stay apart
+        return table.select("conv_id", own, F.lit("turn_rows").alias("layout"), F.lit(fingerprint(list(ROWS))).alias("schema_mark"), F.lit(None).cast("string").alias("raw"), "turn", "role", "text")
+    whole = F.to_json(F.struct(*(quoted(c) for c in table.columns if c != id_col)), {"ignoreNullFields": "false"})
+    return from_records(table.select(quoted(id_col).alias("conv_id"), whole.alias("raw")), "conv_id", "raw")
 
 
 def escaped(text: Column) -> Column:
@@ -137,19 +164,21 @@ def unescaped_role(role: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
-    """(conv_id, layout, n_turns, formatted, loss_mask array<struct<start, end>>) of canonical turns."""
+    """(conv_id, layout, raw, n_turns, formatted, loss_mask array<struct<start, end>>) of canonical turns."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    # A record of an unknown layout has one row, without a turn.
-    shaped = turns.select("conv_id", "layout", "turn", role.alias("role"), text.alias("text"), (F.col("turn").isNotNull() | F.col("role").isNotNull() | F.col("text").isNotNull()).alias("is_turn"))
+    # A record of an unknown layout, or without turns, has one row, without a turn.
+    is_turn = F.col("turn").isNotNull() | F.col("role").isNotNull() | F.col("text").isNotNull()
+    shaped = turns.select("conv_id", "own", "layout", "raw", "turn", role.alias("role"), text.alias("text"), is_turn.alias("is_turn"))
     shaped = shaped.withColumn("head", F.concat(F.lit("<s>"), escaped_role(F.col("role")), F.lit("\n"))).withColumn("body", escaped(F.col("text")))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    order = Window.partitionBy("conv_id", "own").orderBy("turn", "role", "text")
     size = F.when(F.col("is_turn"), F.length("head") + F.length("body") + F.lit(4)).otherwise(F.lit(0)).cast("long")
     shaped = shaped.withColumn("at", F.row_number().over(order)).withColumn("end", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 4)
     piece = F.struct("at", "head", "body", "end", (F.col("role") == trained).alias("loss"))
-    whole = shaped.groupBy("conv_id").agg(F.first("layout").alias("layout"), F.array_sort(F.collect_list(F.when(F.col("is_turn"), piece))).alias("turns"))
+    gathered = F.array_sort(F.collect_list(F.when(F.col("is_turn"), piece)))
+    whole = shaped.groupBy("conv_id", "own").agg(F.first("layout").alias("layout"), F.first("raw").alias("raw"), gathered.alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t.head, t.body, F.lit("</s>"))), "")
     mask = F.transform(F.filter("turns", lambda t: t.loss), lambda t: F.struct((t.end - F.length(t.body)).alias("start"), t.end.alias("end")))
-    return whole.select("conv_id", "layout", F.size("turns").cast("long").alias("n_turns"), formatted.alias("formatted"), mask.alias("loss_mask"))
+    return whole.select("conv_id", "layout", "raw", F.size("turns").cast("long").alias("n_turns"), formatted.alias("formatted"), mask.alias("loss_mask"))
 
 
 def parse_chat(formatted: Column) -> Column:
