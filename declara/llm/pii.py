@@ -1,43 +1,54 @@
 """Personal data: detection, and surrogates of the same type and format.
 
 Detected: e-mail addresses, IBANs, payment card numbers, US social security
-numbers, phone numbers, IPv4 addresses, and persons named after a title. One
-expression with an alternative for each kind finds them, so what two kinds could
-claim goes to the first.
+numbers, phone numbers, IPv4 and IPv6 addresses, and persons named after a title.
+One expression with an alternative for each kind finds them, so what two kinds
+could claim goes to the first.
 
 * Phones: international ones after + or 00, national ones with a leading 0 (9 to
   12 digits), North American and Spanish ones, with separators or without.
 * A name goes on over capital words, with particles (von, de la), initials and
-  inner capitals, hyphens and apostrophes, and always ends at a word's end.
+  inner capitals, hyphens and apostrophes, and always ends at a word's end. A name
+  of several words is found without its title too in a text that has it with one.
 
 README says what is left undetected.
 
-A surrogate is drawn from SHA-512 of a key, the kind, the normalised value and
-an attempt number:
+A surrogate is drawn from HMAC-SHA-512 of the kind, the normalised value and an
+attempt number under a key:
 
 * digits become digits, letters become letters of the same case and script, and
   all other characters stay; a phone's country code, an e-mail's label structure
   (under the reserved top domain ``example``), an IBAN's country and a card's
   leading digit stay, and card and IBAN check digits are made to fit again;
-* octets of addresses stay octets;
-* a person keeps the title; given names come from a list of the gender that the
-  title tells, family names from a list of the same script.
+* octets of addresses stay octets, and hexadecimal digits hexadecimal;
+* a person keeps the titles; given names come from a list of the gender that they
+  tell (of either, where they tell none), family names are put together from
+  parts of the same script, with the ending of that gender.
 
 Equal values get equal surrogates everywhere (coreference). Distinctness is
 checked over all values: where two would share a surrogate, or a surrogate is
-itself a value that occurs, the smallest keeps it and the others draw again.
-Only entities take part in those joins; documents without one never shuffle.
+itself a value that occurs, the smallest keeps it and the others draw again, up
+to ATTEMPTS times. What still collides then (a kind has nearly as many values as
+its format has room for) becomes ``[kind-digest]``: distinct, but not of the format.
 
-Defined results: null text stays null, empty stays empty; repeated rows and ids
-are each rewritten; other columns are carried along.
+Texts are searched once. Mentions are stored; a bitmap of bounded size tells the
+rows that have some, and only those are shuffled, to be rewritten.
+
+Defined results: null text stays null, empty stays empty; each row is rewritten,
+repeated ones alike; a text may be of any length; an empty table stays one; other
+columns are carried along, but for ``n_entities``, which is replaced. The key is a
+literal of the plans: who may read the event log may read it.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import Carried, let, marks_of, perhaps_in, stored
 
 #: Country codes, and a further digit with what may separate it from the one before.
 COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
@@ -63,8 +74,15 @@ PHONES = [
     )
     + r")(?![\w]|[.,\-/][0-9])",
 ]
-TITLE = "(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)"
-TITLED = rf"{TITLE}(?:\.[ \u00a0\u202f]{{0,2}}|[ \u00a0\u202f]{{1,2}})"
+#: Titles by the gender that they tell.
+TITLES = {
+    "male": "Mr Herr Monsieur Señor Господин Sr Sir",
+    "female": "Mrs Ms Miss Frau Madame Mademoiselle Mme Mlle Señora Señorita Sra Srta Госпожа",
+    "either": "Dr Prof Professor Mx Доктор Профессор",
+}
+TITLE = "(?:" + "|".join(sorted(" ".join(TITLES.values()).split(), key=lambda t: (-len(t), t))) + ")"
+_AFTER_TITLE = r"(?:\.[ \u00a0\u202f]{0,2}|[ \u00a0\u202f]{1,2})"
+TITLED = rf"(?:{TITLE}{_AFTER_TITLE}){{1,3}}"
 _LETTERS = r"[\p{L}\p{M}\p{N}_]*+"
 #: A capital word; hyphens and apostrophes go on, but for endings such as that of "Smith's".
 _WORD = rf"\p{{Lu}}{_LETTERS}(?:(?:-|['’](?!(?:s|ll|re|ve|d|m|t)(?!\p{{L}})))\p{{L}}{_LETTERS})*+"
@@ -79,23 +97,28 @@ PATTERNS = {
     "ssn": r"[0-9]{3}(?<!-[0-9]{3})-[0-9]{2}-[0-9]{4}(?![\w\-])",
     "phone": "(?:" + "|".join(PHONES) + ")",
     "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])",
+    "ip6": r"(?=[A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "person": rf"{TITLED}{_NAME}(?:[ \u00a0\u202f](?:y )?(?!{TITLE}(?!\p{{L}})){_NAME})*+",
 }
 START = r"(?<![\p{L}0-9_])"
 ANY = START + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Every entity has one of these; most texts have none, and are not searched further.
-HINT = r"[0-9@]|[MHFSГ](?:rs?\b|s\b|iss|err|rau|onsieur|adame|eñor|осп)"
-MALE = r"^(?:Mr|Herr|Monsieur|Señor|Господин)\.? "
+HINT = rf"[0-9@]|{TITLE}[.\u00a0\u202f ]"
+#: Given names, and parts of family names with the endings of each gender.
 GIVEN = {
-    ("Latin", True): "Adam Boris Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Noel Oscar Paul Robert Simon Tom Victor",
-    ("Latin", False): "Ada Berta Clara Diana Emma Flora Greta Hanna Ida Julia Karla Lena Maria Nora Olga Paula Rosa Sara Tina Vera",
-    ("Cyrillic", True): "Иван Пётр Павел Антон Борис Глеб Денис Егор Илья Олег",
-    ("Cyrillic", False): "Анна Вера Дарья Елена Ирина Мария Нина Ольга Софья Юлия",
+    ("Latin", True): "Adam Albert Anton Boris Bruno Carl Conrad David Edgar Emil Erik Felix Frank Georg Gustav Hugo Ivan Jakob Jonas Karl Konstantin Leon Louis Lukas Martin Max Noel Oscar Otto Paul Peter Ralph Robert Simon Theo Tom Viktor Walter",
+    ("Latin", False): "Ada Agnes Anna Berta Clara Diana Dora Edith Emma Eva Flora Gerda Greta Hanna Helena Ida Irene Johanna Julia Karla Lena Lisa Luise Maria Martha Nora Olga Paula Rita Rosa Sara Sofia Tina Ursula Vera Wanda",
+    ("Cyrillic", True): "Иван Пётр Павел Антон Борис Глеб Денис Егор Илья Олег Роман Семён Фёдор Юрий Яков Артём",
+    ("Cyrillic", False): "Анна Вера Дарья Елена Ирина Мария Нина Ольга Софья Юлия Алла Галина Лидия Раиса Тамара Зоя",
+}
+ROOTS = {
+    "Latin": "Alt Berg Birk Brand Brun Burg Dorn Eich Eller Fels Forst Gold Hag Hart Hoch Holz Kall Kirch Klein Lang Lind Moor Nord Ober Rein Rot Sand Stein Tann Thor Ulm Wald Weid West Wind Winter",
+    "Cyrillic": "Бел Волк Воробьёв Громад Дёмин Жук Зимин Кот Лебед Мороз Нос Орл Петух Рыбак Сокол Соловь Тихомир Ушак Хомяк Шишк",
 }
-FAMILY = {
-    ("Latin", True): "Abel Brandt Costa Dorn Ebner Falk Gallo Hale Imhof Jansen Keller Lindt Moreau Norden Ortiz Prior Quint Rossi Stern Torres Urban Vidal Weber Young Zeller",
-    ("Cyrillic", True): "Белов Волков Громов Дёмин Жуков Зимин Котов Лебедев Морозов Носов",
-    ("Cyrillic", False): "Белова Волкова Громова Дёмина Жукова Зимина Котова Лебедева Морозова Носова",
+ENDINGS = {
+    ("Latin", True): "acker au bach beck dorf ermann feld hof horst hus kamp mann mark meier ner sen see stad",
+    ("Cyrillic", True): "ов ин енко овский аев ьянов",
+    ("Cyrillic", False): "ова ина енко овская аева ьянова",
 }
 ATTEMPTS = 32
 
@@ -111,12 +134,12 @@ def kind_of(value: Column) -> Column:
 def normalised(kind: Column, value: Column) -> Column:
     """What tells entities apart: case does not in addresses, separators do not in numbers, a title's full stop does not."""
     numbers = F.regexp_replace(value, r"[^0-9+]", "")
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "ssn", "phone"), numbers).when(kind == "iban", F.replace(value, F.lit(" "))).when(kind == "person", _spaced(value)).otherwise(value)
+    return F.when(kind.isin("email", "ip6"), F.lower(value)).when(kind.isin("card", "ssn", "phone"), numbers).when(kind == "iban", F.replace(value, F.lit(" "))).when(kind == "person", _spaced(value)).otherwise(value)
 
 
 def _spaced(person: Column) -> Column:
     """Title and names with one space between them, and no full stop after the title."""
-    return F.regexp_replace(F.regexp_replace(person, rf"^({TITLE})(?!\p{{L}})\.?[ \u00a0\u202f]*", "$1 "), r"[\u00a0\u202f]", " ")
+    return F.regexp_replace(F.regexp_replace(person, rf"{START}({TITLE}){_AFTER_TITLE}", "$1 "), r"[\u00a0\u202f]", " ")
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -180,31 +203,56 @@ def _email(value: Column, stream: Column, domain_stream: Column) -> Column:
     return F.concat(_alike(local, stream), F.lit("@"), _alike(F.array_join(labels, "."), domain_stream), F.lit(".example"))
 
 
+def _hexadecimal(value: Column, stream: Column) -> Column:
+    """Hexadecimal digits for such digits, numerals for numerals."""
+
+    def one(c: Column, i: Column) -> Column:
+        b = _byte(stream, i)
+        letter = F.substring(F.lit("abcdef"), (F.pmod(b, F.lit(6)) + 1).cast("int"), F.lit(1))
+        return F.when(c.between("0", "9"), F.pmod(b, F.lit(10)).cast("string")).when(c == ":", c).otherwise(letter)
+
+    return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
+
+
+NAMED = rf"^(?:{TITLE} )+"
+
+
 def _person(value: Column, stream: Column, attempt: Column) -> Column:
-    cyrillic = value.rlike(r"\p{IsCyrillic}")
-    male = value.rlike(MALE)
-    title = F.substring_index(value, " ", 1)
-    words = F.size(F.split(value, " "))
+    titles = F.regexp_extract(value, NAMED, 0)
+    told = lambda which: titles.rlike(rf"(?:^| )(?:{TITLES[which].replace(' ', '|')}) ")
+    cyrillic, either = value.rlike(r"\p{IsCyrillic}"), ~told("male") & ~told("female")
+    male = F.when(either, F.pmod(_byte(stream, F.lit(9)), F.lit(2)) == 0).otherwise(~told("female"))
+    words = F.size(F.split(F.regexp_replace(value, NAMED, ""), " "))
 
-    def pick(lists: dict, script: str, gender: bool, at: int) -> Column:
-        names = lists.get((script, gender), lists.get((script, True))).split(" ")
-        return F.element_at(F.array(*map(F.lit, names)), (F.pmod(_byte(stream, F.lit(at)), F.lit(len(names))) + 1).cast("int"))
+    def pick(names: str, at: int) -> Column:
+        listed = names.split(" ")
+        return F.element_at(F.array(*map(F.lit, listed)), (F.pmod(_byte(stream, F.lit(at)), F.lit(len(listed))) + 1).cast("int"))
 
     def both(script: str, gender: bool) -> Column:
-        first, last = pick(GIVEN, script, gender, 0), pick(FAMILY, script, gender, 1)
+        endings = ENDINGS.get((script, gender), ENDINGS[script, True])
+        first, last = pick(GIVEN[script, gender], 0), F.concat(pick(ROOTS[script], 1), pick(endings, 2))
         # A name that was taken gets a second family name, then more letters.
-        last = F.when(attempt == 0, last).otherwise(F.concat(last, F.lit("-"), pick(FAMILY, script, gender, 2)))
+        last = F.when(attempt == 0, last).otherwise(F.concat(last, F.lit("-"), pick(ROOTS[script], 3), pick(endings, 4)))
         last = F.when(attempt < 4, last).otherwise(F.concat(last, F.translate(F.substring(stream, 9, 6), "0123456789abcdef", "абвгдежзиклмнопр" if script == "Cyrillic" else "abcdefghiklmnopr")))
-        return F.when(words > 2, F.concat(first, F.lit(" "), last)).otherwise(last)
+        return F.when(words > 1, F.concat(first, F.lit(" "), last)).otherwise(last)
 
     name = F.when(cyrillic & male, both("Cyrillic", True)).when(cyrillic, both("Cyrillic", False)).when(male, both("Latin", True)).otherwise(both("Latin", False))
-    return F.concat(title, F.lit(" "), name)
+    return F.concat(titles, name)
+
+
+def hmac(key: str) -> Callable[[Column], Column]:
+    """HMAC-SHA-512 (RFC 2104) of a text, in hexadecimal."""
+    raw = key.encode()
+    raw = (hashlib.sha512(raw).digest() if len(raw) > 128 else raw).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
+    return lambda text: F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 512))), 512)
 
 
 def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     """A surrogate of the normalised value, in that form."""
-    drawn = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 512)
-    domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(F.lower(value), "@", -1)), 512)
+    digest = hmac(key)
+    drawn = digest(F.concat_ws("\x1f", kind, value, attempt.cast("string")))
+    domain = digest(F.concat_ws("\x1f", F.lit("domain"), F.substring_index(F.lower(value), "@", -1)))
     code = F.regexp_extract(value, rf"^(?:(?:\+|00){COUNTRY}0?|0|1(?=[0-9]{{10}}$))", 0)
     octets = F.array_join(F.transform(F.array(*map(F.lit, range(4))), lambda i: _byte(drawn, i).cast("string")), ".")
     return let(
@@ -213,6 +261,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
         .when(kind == "card", _card(value, stream))
         .when(kind == "iban", _iban(value, stream))
         .when(kind == "ip", octets)
+        .when(kind == "ip6", _hexadecimal(value, stream))
         .when(kind == "phone", F.concat(code, _area(F.substring(value, F.length(code) + 1, F.length(value)), stream)))
         .when(kind == "person", _person(value, stream, attempt))
         .otherwise(_alike(value, stream)),
@@ -235,8 +284,10 @@ def formatted(kind: Column, value: Column, drawn: Column) -> Column:
         F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
         lambda a, c: F.when(is_sign(c), F.struct((a.at + 1).alias("at"), F.concat(a.out, F.coalesce(F.get(signs, a.at - 1), F.lit(""))).alias("out"))).otherwise(F.struct(a.at.alias("at"), F.concat(a.out, c).alias("out"))),
     )
-    titled = F.concat(F.regexp_extract(value, rf"^{TITLED}", 0), F.substring(drawn, F.instr(drawn, " ") + 1, F.length(drawn)))
-    return F.when(kind.isin("card", "ssn", "phone", "iban"), step.out).when(kind == "person", titled).otherwise(drawn)
+    titled = F.concat(F.regexp_extract(value, rf"^{TITLED}", 0), F.regexp_replace(drawn, NAMED, ""))
+    shown = F.when(value == F.upper(value), F.upper(drawn)).otherwise(drawn)
+    as_written = F.when(kind.isin("card", "ssn", "phone", "iban"), step.out).when(kind == "person", titled).when(kind == "ip6", shown).otherwise(drawn)
+    return F.when(drawn.startswith("["), drawn).otherwise(as_written)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -255,25 +306,39 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         if waiting.isEmpty():
             return done
     # So many values that their format has no free surrogates left: tell them apart outside it.
-    tail = waiting.withColumn("surrogate", F.concat(F.lit("["), F.col("kind"), F.lit("-"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "value"), 256), 1, 32), F.lit("]")))
+    tail = waiting.withColumn("surrogate", F.concat(F.lit("["), F.col("kind"), F.lit("-"), F.substring(hmac(key)(F.concat_ws("\x1f", "kind", "value")), 1, 32), F.lit("]")))
     return done.union(tail)
 
 
 def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with entities replaced in ``text_col``, and ``n_entities`` counting them."""
-    text = F.col(text_col)
+    table = Carried(docs, id_col, text_col, ("n_entities",))
+    text = F.col("text")
     has = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
-    clean = docs.where(~has).withColumn("n_entities", F.lit(0).cast("long"))
-    mention = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
-    found = docs.where(has).select(F.col(id_col).alias("pii_doc"), F.xxhash64(text).alias("pii_text"), F.explode(F.array_distinct(mention)).alias("mention"))
+    row_key = F.xxhash64("id", "text").alias("row_key")
+    found = table.rows.where(has).select(row_key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))).alias("mention"))
     found = found.withColumn("kind", kind_of(F.col("mention"))).withColumn("value", normalised(F.col("kind"), F.col("mention")))
     found = stored(found.where(F.col("kind").isNotNull()).distinct(), "mentions")
     mapped = found.join(assign(found.select("kind", "value").distinct(), key), ["kind", "value"])
-    mapped = mapped.select("pii_doc", "pii_text", F.struct("mention", formatted(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("by")).alias("m"))
-    mapped = mapped.groupBy("pii_doc", "pii_text").agg(F.map_from_entries(F.collect_list("m")).alias("pii_map"))
-    dirty = docs.where(has).withColumn("pii_key", F.xxhash64(text)).join(mapped, F.col(id_col).eqNullSafe(F.col("pii_doc")) & (F.col("pii_key") == F.col("pii_text")), "left")
-    dirty = dirty.withColumn("pii_found", mention)
-    by = lambda m: F.element_at(F.col("pii_map"), m)
-    joined = F.zip_with(F.split(text, ANY, -1), "pii_found", lambda p, m: F.concat(p, F.coalesce(by(m), m, F.lit(""))))
-    dirty = dirty.withColumn("n_entities", F.size(F.filter("pii_found", lambda m: by(m).isNotNull())).cast("long")).withColumn(text_col, F.array_join(joined, ""))
-    return clean.unionByName(dirty.select(*docs.columns, "n_entities"))
+    by = formatted(F.col("kind"), F.col("mention"), F.col("surrogate"))
+    # Names of several words, which stand for the same person without the title.
+    bare, by_bare = (F.regexp_replace(F.col(c), NAMED, "") for c in ("value", "surrogate"))
+    named = F.when((F.col("kind") == "person") & bare.contains(" "), F.struct(bare.alias("mention"), by_bare.alias("by")))
+    mapped = mapped.select("row_key", F.struct("mention", by.alias("by")).alias("m"), named.alias("bare"))
+    pairs = lambda c: F.sort_array(F.collect_set(c))
+    mapped = mapped.groupBy("row_key").agg(pairs("m").alias("mentions"), pairs("bare").alias("bares"))
+    mapped = stored(mapped.withColumnRenamed("row_key", "found_key"), "replacements")
+    some, clean = perhaps_in(table.rows.withColumn("row_key", row_key), "row_key", stored(marks_of(mapped, "found_key"), "marks"))
+    dirty = some.join(mapped, F.col("row_key") == F.col("found_key"), "left")
+    # Longer names first; one of two titles' surrogates, if they differ, for both.
+    names = F.array_sort(F.array_distinct(F.transform("bares", lambda b: b["mention"])), lambda a, b: F.length(b) - F.length(a))
+    listed = F.array_join(F.transform(names, lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
+    pattern = F.when(F.size("bares") > 0, F.concat(F.lit(f"{ANY}|{START}(?:"), listed, F.lit(r")(?![\p{L}\p{N}_])"))).otherwise(ANY)
+    dirty = dirty.withColumn("pattern", pattern).withColumn("every", F.concat("mentions", F.filter("bares", lambda b: ~F.exists("bares", lambda o: (o["mention"] == b["mention"]) & (o["by"] < b["by"])))))
+    dirty = dirty.withColumn("pii_map", F.map_from_entries("every")).withColumn("pii_found", F.regexp_extract_all(text, F.concat(F.lit("("), F.col("pattern"), F.lit(")")), F.lit(1)))
+    of = lambda m: F.element_at(F.col("pii_map"), m)
+    joined = F.array_join(F.zip_with(F.split(text, F.col("pattern"), -1), "pii_found", lambda p, m: F.concat(p, F.coalesce(of(m), m, F.lit("")))), "")
+    there = F.col("found_key").isNotNull()
+    n = F.when(there, F.size(F.filter("pii_found", lambda m: of(m).isNotNull()))).otherwise(0).cast("long").alias("n_entities")
+    dirty = dirty.select("id", F.when(there, joined).otherwise(text).alias("text"), "rest", n)
+    return table.out(dirty.unionByName(clean.select("id", "text", "rest", F.lit(0).cast("long").alias("n_entities"))), F.col("n_entities"))
