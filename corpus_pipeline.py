@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Stages that compare documents give each row a
 key of its own, so that rows without a doc_id, or with a common one, are judged
 like all others.
+
+Defined results, of all stages: an empty table stays empty; columns that the
+stages do not know are carried along to the last one; texts are read whole. What
+becomes of null and empty texts and of ties is said at each stage.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declara.llm.common import own_keys, stored, table
+from declara.llm.common import Carried, marks_of, own_keys, perhaps_in, stored, table
 from declara.llm.decontaminate import decontaminate
 from declara.llm.language import UNDETERMINED, identify
 from declara.llm.lines import dedup_lines
@@ -23,33 +27,42 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language that can be told go: no letters, or no language above LEAST_SCORE."""
-    found = identify(docs, docs.where(fold() != 2).select("doc_id", "text", "lang"), carried=docs.columns)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in no language that can be told go: null and empty texts, those without letters, and those whose best language scores under LEAST_SCORE."""
+    kept = Carried(docs, "doc_id", "text")
+    found = identify(kept.rows, docs.where(fold() != 2).select("doc_id", "text", "lang"), carried=kept.rows.columns)
+    return kept.out(found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents that consisted of them."""
+    """Repeated lines go (the earliest stays), and documents that consisted of them. Null and empty texts stay as they are."""
     rest = dedup_lines(docs)
-    rest = rest.where((F.col("n_removed") == 0) | F.trim("text").rlike(r"\S"))
-    return rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rest = rest.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    if "n_chars" in docs.columns:
+        rest = rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rest.select(*docs.columns)
+
+
+def _without(docs: DataFrame, gone) -> DataFrame:
+    """``docs`` without the rows whose keys ``gone``(keyed table of (key, text, carried columns)) gives as column ``key``."""
+    kept = Carried(docs, "doc_id", "text")
+    keyed, _ = own_keys(kept.rows, "key", "id")
+    keys = stored(gone(keyed), "gone")
+    some, others = perhaps_in(keyed, "key", stored(marks_of(keys, "key"), "marks"))
+    return kept.out(some.join(keys, "key", "left_anti").unionByName(others))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five words, 0.8)."""
-    keyed, _ = own_keys(docs, "row_key")
-    gone = near_duplicates(keyed, id_col="row_key").where(~F.col("kept")).select(F.col("doc_id").alias("row_key"))
-    return keyed.join(gone, "row_key", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates stays (five words, 0.8): the one with the smallest doc_id. Texts without words are like nothing."""
+    return _without(docs, lambda keyed: near_duplicates(keyed, id_col="key").where(~F.col("kept")).select(F.col("doc_id").alias("key")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
-    keyed, _ = own_keys(docs, "row_key")
-    hit = decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="row_key").where("contaminated").select("row_key")
-    return keyed.join(hit, "row_key", "left_anti").select(*docs.columns)
+    """Documents with a passage of the benchmark go. Texts without words have none."""
+    return _without(docs, lambda keyed: decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="key").where("contaminated").select("key"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces of sequences. A null or empty text is its end id alone; rows with one doc_id are packed each."""
     return pack(docs)
 
 
