@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import string
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 MARK_BITS = 26
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 _written: list[tuple[weakref.ref, str]] = []
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    given = "file://" + tempfile.mkdtemp(prefix="declara-")
-    spark.conf.set("spark.checkpoint.dir", given)
-    return given
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="declara-"))
+
+
+BATCH_BYTES, WHOLE_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold a few MB, unless it says otherwise: a worker and its executor hold several at once."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, "64m") in (f"{WHOLE_BATCH}b", "64m"):
+        conf.set(BATCH_BYTES, "4m")
+    return df
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import quoted, small_batches
 from .kept import Cache, held
 
 #: Terms whose draws are made at a time: they stay in the processor's cache, and a long text needs no more memory.
@@ -77,19 +77,13 @@ def exponential(bits: np.ndarray) -> np.ndarray:
 
 def weights(text: str) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the text's terms, and their counts."""
-    hashes = held("fingerprint", lambda: Cache(200_000))
-    known, counts = hashes.new, Counter(text.lower().split())
-    out = []
-    for word in counts:
-        found = known.get(word)
-        if found is None:
-            found = hashes.get(word)
-            if found is None:
-                found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-                hashes.put(word, found)
-            known = hashes.new
-        out.append(found)
-    return np.array(out, np.uint64), np.fromiter(counts.values(), np.int64, len(counts))
+    known, counts = held("fingerprint", lambda: Cache(200_000, _hashed)), Counter(text.lower().split())
+    hashes = np.fromiter(map(known.__getitem__, counts), np.uint64, len(counts))
+    return hashes, np.fromiter(counts.values(), np.int64, len(counts))
+
+
+def _hashed(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 def signature(text: str, samples: int) -> np.ndarray | None:
@@ -169,7 +163,7 @@ def with_next(docs: DataFrame, per_range: int = 1000) -> tuple[DataFrame, int]:
 
 def fingerprints(docs: DataFrame, *, samples: int = 64, per_range: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, its edited text's, and likenesses; see the query."""
-    docs = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
+    docs = small_batches(docs).select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     dealt, parts = with_next(docs, per_range)
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "follows", "doc_id", "text_key").select("part", "follows", "doc_id", "text")
 

@@ -14,22 +14,22 @@ from collections.abc import Callable
 _held: dict = {}
 
 
-class Cache:
-    """A map of two generations: the older one is dropped when the newer is full."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
+class Cache(dict):
+    """What ``make`` gives for a key, looked up as in a dictionary. Of two generations the older one goes when the newer is full."""
+
+    def __init__(self, most: int, make: Callable):
+        super().__init__()
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def held(owner, make: Callable):

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import quoted, small_batches
 from .kept import held
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -193,7 +193,7 @@ def in_sample(fraction: Column, *key: Column) -> Column:
 
 def train(labelled: DataFrame, pieces: list[str], *, per_language: int = 800, rounds: int = 2) -> Model:
     """labelled: (doc_id, text, lang). Texts are sampled whole."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNDETERMINED))
+    usable = small_batches(labelled).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNDETERMINED))
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
         return Model([], pieces, np.empty((len(pieces), 0)))
@@ -230,7 +230,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", carried: l
             told = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *told], names=[*carried, "lang_pred", "score"])
 
-    return docs.select(quoted(text_col).alias("text"), *(quoted(c).alias(f"carried_{i}") for i, c in enumerate(carried))).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return small_batches(docs).select(quoted(text_col).alias("text"), *(quoted(c).alias(f"carried_{i}") for i, c in enumerate(carried))).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 class Scorer:

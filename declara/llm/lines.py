@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carried, let, marks_of, own_keys, perhaps_in, stored
+from .common import Carried, let, marks_of, own_keys, perhaps_in, small_batches, stored
 from .kept import held
 from .near_dup import mixed
 
@@ -147,7 +147,7 @@ def repeated_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5, s
     """(doc_id, gone array<int>): numbers of the lines to remove. docs: (doc_id, text), ids distinct."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1: a line's variants leave out one word at most")
-    lines = stored(_lines(docs, min_words, short_repeats), "lines")
+    lines = stored(_lines(small_batches(docs), min_words, short_repeats), "lines")
     first = F.min(F.struct("doc_id", "line")).alias("first")
     known = [F.first("half").alias("half")] if max_edits else []  # the same for all lines of a form
     classes = stored(lines.groupBy("form").agg(first, F.count("*").alias("n"), *known), "classes")

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marks_of, own_keys, perhaps_in, quoted, stored
+from .common import marks_of, own_keys, perhaps_in, quoted, small_batches, stored
 from .kept import Cache, held
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -63,20 +63,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word runs. bytes.lower and bytes.split know ASCII only, as is wanted."""
-    cache = held("near_dup", lambda: Cache(200_000))
-    known, hashes = cache.new, []
-    for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
-        h = known.get(w)
-        if h is None:
-            h = cache.get(w)
-            if h is None:
-                h = xxhash.xxh3_64_intdigest(w)
-                cache.put(w, h)
-            known = cache.new
-        hashes.append(h)
-    if not hashes:
+    known = held("near_dup", lambda: Cache(200_000, xxhash.xxh3_64_intdigest))
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
         return np.empty(0, np.uint64)
-    words = np.array(hashes, np.uint64)
+    words = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     n = max(1, len(words) - size + 1)
     runs = np.full(n, min(size, len(words)), np.uint64)
     for i in range(min(size, len(words))):
@@ -258,7 +249,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, block: int = 1024, stars: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
     docs = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
-    owned, shared_ids = own_keys(docs, "own_key", nulls=False)
+    owned, shared_ids = own_keys(small_batches(docs), "own_key", nulls=False)
     docs = owned.select(F.col("own_key").alias("doc_id"), "text")
     width, least = bands * rows, least_agreement(bands * rows, percent)
     signed = stored(signatures(docs, shingle=shingle, bands=bands, rows=rows), "signatures")

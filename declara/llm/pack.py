@@ -24,7 +24,9 @@ along; an empty table has no pieces; other columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import quoted
+from .common import quoted, small_batches
 from .kept import Cache, held
 
 COUNTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -43,37 +45,28 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 class WordTokenizer:
     """Ids of a text, as bytes of little-endian 32-bit numbers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.runs = Cache(200_000), Cache(200_000)
+        self.known = Cache(remembered, self._chunk)
 
     def encode(self, text: str) -> bytes:
-        known, out = self.chunks.new, []
-        for chunk in text.replace("\n", " ").split(" "):
-            ids = known.get(chunk)
-            if ids is None:
-                ids, known = self._chunk(chunk), self.chunks.new
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = self.chunks.get(chunk)
-        if ids is None:
-            m = PLAIN.match(chunk)
-            ids = self._run(m[1].lower()) + (self._run(m[2]) if m[2] else b"") if m else self._direct(chunk)
-            self.chunks.put(chunk, ids)
-        return ids
-
-    def _run(self, run: str) -> bytes:
-        ids = self.runs.get(run)
-        if ids is None:
-            self.runs.put(run, ids := self._direct(run))
-        return ids
+        """A word and the marks after it have ids of their own, and are remembered for other chunks."""
+        m = PLAIN.match(chunk)
+        if not m:
+            return self._direct(chunk)
+        word, marks = m[1].lower(), m[2]
+        return self._direct(word) if chunk == word else self.known[word] + (self.known[marks] if marks else b"")
 
     def _direct(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def fill(lengths: list[int], counts: Counter, room: int) -> Counter:
@@ -197,7 +190,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, capacity: int =
         if rows:
             yield _batch(rows, ids)
 
-    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return small_batches(docs).select(quoted(id_col), quoted(text_col)).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _batch(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import quoted
+from .common import quoted, small_batches
 from .kept import held
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -145,5 +145,5 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             spans = [[dict(zip(("kind", "start", "end"), f)) for f in scan(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, struct)], names=["id", "spans"])
 
-    found = docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>")
+    found = small_batches(docs).select(quoted(id_col), quoted(text_col)).mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>")
     return found.withColumnRenamed("id", id_col)

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import scratch, small_batches, stored
 from .kept import held
 
 DATA, INDEX, MANIFEST = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
@@ -371,7 +371,7 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 0, per_p
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    return with_references(pages, least_bytes).sortWithinPartitions("page_id", "sha1").mapInArrow(run, "path string, records long")
+    return with_references(small_batches(pages), least_bytes).sortWithinPartitions("page_id", "sha1").mapInArrow(run, "path string, records long")
 
 
 RECORDS = "record_id string, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to string, payload binary"
