@@ -1,4 +1,4 @@
-"""What can be told from SQL text with regular expressions, as Spark columns."""
+"""Names, templates and messages as Spark columns."""
 
 from __future__ import annotations
 
@@ -7,46 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The forms of names and statements, and the words that never name an object.
-IDENT = r'(?:"[^"]+"|\w+)'
-NAME = rf"(?:{IDENT}\.)?(?:{IDENT}\.)?{IDENT}"
-TYPES = r"TABLE|(?:MATERIALIZED\s+)?VIEW|PROCEDURE|FUNCTION|STREAM|TASK|PIPE|STAGE|FILE\s+FORMAT|SEQUENCE|DATABASE|SCHEMA"
-CREATE = (
-    r"(?iU)CREATE\s+(?:(OR\s+ALTER|OR\s+REPLACE)\s+)?(?:TEMPORARY\s+|TRANSIENT\s+|VOLATILE\s+|SECURE\s+|EXTERNAL\s+|DYNAMIC\s+)*"
-    rf"({TYPES})\s+(?:IF\s+NOT\s+EXISTS\s+)?({NAME})"
-)
-DROP = rf"(?iU)DROP\s+({TYPES})\s+(?:IF\s+EXISTS\s+)?({NAME})"
-GRANTED = r"TABLE|VIEW|SCHEMA|DATABASE|PROCEDURE|FUNCTION|STREAM|TASK|STAGE|SEQUENCE|PIPE|FILE\s+FORMAT|ALL\s+\w+\s+IN\s+(?:SCHEMA|DATABASE)"
-REFERENCES = tuple(
-    rf"(?iU)\b{before}\s+({NAME})"
-    for before in ("FROM", "JOIN", "REFERENCES", r"ON\s+TABLE", r"ON\s+VIEW", r"INSERT\s+(?:INTO|OVERWRITE\s+INTO)", rf"GRANT\s+.+?\bON\s+(?:{GRANTED})")
-)
-DEPENDS_ON = r"(?i)--\s*@depends_on:\s*(.+)"
-STOP_WORDS = (
-    "SELECT FROM WHERE AND OR NOT IN EXISTS GROUP BY ORDER HAVING LIMIT OFFSET UNION ALL DISTINCT AS ON USING LEFT RIGHT INNER OUTER FULL CROSS NATURAL JOIN "
-    "INSERT INTO VALUES UPDATE SET DELETE CREATE ALTER DROP TRUNCATE REPLACE TABLE VIEW DATABASE SCHEMA PROCEDURE FUNCTION IF THEN ELSE END WHEN CASE BEGIN "
-    "DECLARE RETURN RETURNS LANGUAGE SQL JAVASCRIPT PYTHON JAVA SCALA TRUE FALSE NULL INTEGER INT NUMBER VARCHAR STRING TEXT TIMESTAMP TIMESTAMP_NTZ "
-    "TIMESTAMP_LTZ TIMESTAMP_TZ DATE TIME BOOLEAN FLOAT DOUBLE VARIANT OBJECT ARRAY BINARY GEOGRAPHY GEOMETRY AUTOINCREMENT IDENTITY PRIMARY KEY UNIQUE "
-    "DEFAULT CONSTRAINT FOREIGN REFERENCES CHECK IDENTIFIER DUAL INFORMATION_SCHEMA LATERAL FLATTEN RESULT_SCAN LAST_QUERY_ID GENERATOR ROWCOUNT SYSTEM "
-    "METADATA RAW CURRENT_TIMESTAMP CURRENT_DATE CURRENT_USER SYSDATE GETDATE ROLE WAREHOUSE GRANT REVOKE USAGE OWNERSHIP FUTURE TABLES VIEWS SCHEMAS COPY "
-    "PUT GET LIST REMOVE"
-).split()
-MUST_ALTER = ["DATABASE", "ROLE", "WAREHOUSE", "DYNAMIC TABLE", "FILE FORMAT", "SCHEMA", "STAGE", "TABLE", "TASK", "VIEW", "TAG"]
-
 
 def substituted(text: Column, variables: dict[str, str]) -> Column:
     """``{{name}}`` replaced for each variable in turn; unknown ones stay."""
     return reduce(lambda c, kv: F.replace(c, F.lit("{{" + kv[0] + "}}"), F.lit(str(kv[1]))), variables.items(), text)
 
 
-def stripped(sql: Column) -> Column:
-    """Without comments (but for @depends_on), dollar-quoted blocks and string literals, in that order."""
-    sql = F.regexp_replace(sql, r"(?s)/\*.*?\*/", " ")
-    sql = F.regexp_replace(sql, r"(?i)--(?!\s*@depends_on)[^\n]*", "")
-    sql = F.regexp_replace(sql, r"(?s)(\$\w*\$).*?\1", "''")
-    return F.regexp_replace(sql, r"(?s)'(?:[^']|'')*'", "''")
-
-
 def name_parts(name: Column) -> Column:
     return F.transform(F.split(name, r"\."), lambda p: F.upper(F.regexp_replace(F.trim(p), r'^"+|"+$', "")))
 
@@ -57,32 +23,21 @@ def resolved(name: Column, schema: Column) -> Column:
     return F.when((F.size(parts) == 1) & (F.coalesce(schema, F.lit("")) != ""), F.concat_ws(".", F.upper(schema), parts[0])).otherwise(F.array_join(parts, "."))
 
 
-def last_use(clean: Column, what: str) -> Column:
-    found = F.regexp_extract_all(clean, F.lit(rf"(?iU)USE\s+{what}\s+((?:\w+\.)?\w+)"), F.lit(1))
-    return F.upper(F.try_element_at(found, F.lit(-1)))
-
-
-def declared_dependencies(raw: Column) -> Column:
-    """Names after ``-- @depends_on:``, from text whose comments are still there."""
-    listed = F.regexp_extract_all(raw, F.lit(DEPENDS_ON), F.lit(1))
-    return F.filter(F.transform(F.flatten(F.transform(listed, lambda x: F.split(x, ","))), lambda x: F.upper(F.trim(x))), lambda x: x != "")
-
-
-def names_after(clean: Column, patterns: tuple[str, ...], schema: Column, *, single_only: bool = False, stop: list[str] = STOP_WORDS) -> Column:
-    """Resolved names that the patterns capture, without stop words (in lineage: of one part only), distinct."""
-    raw = F.flatten(F.array(*(F.regexp_extract_all(clean, F.lit(p), F.lit(1)) for p in patterns)))
-    kept = F.filter(raw, lambda n: ~F.upper(n).isin(stop) | (F.lit(single_only) & n.contains(".")))
-    return F.array_distinct(F.transform(kept, lambda n: resolved(n, schema)))
-
-
-def references(clean: Column, schema: Column) -> Column:
-    return names_after(clean, REFERENCES, schema)
+def error_code(message: Column) -> Column:
+    """The six digits an error message starts with, alone or before a state in parentheses."""
+    return F.nullif(F.regexp_extract(message, r"^(\d{6})(?:\s*\([^)]*\))?:", 1), F.lit(""))
 
 
-def error_code(message: Column) -> Column:
-    """The six digits an error message starts with, in either form."""
-    return F.coalesce(F.nullif(F.regexp_extract(message, r"^(\d{6})\s*\([^)]*\):", 1), F.lit("")), F.nullif(F.regexp_extract(message, r"^(\d{6}):", 1), F.lit("")))
+def web_address(text: Column) -> Column:
+    """The first https address of a text; null without one."""
+    return F.nullif(F.regexp_extract(text, r"https://[^\s]+", 0), F.lit(""))
 
 
 def path_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def underlined(line: Column, part: Column) -> Column:
+    """A line of carets below the first place of ``part``; empty where it does not occur."""
+    at = F.instr(line, part)
+    return F.when(at > 0, F.concat(F.repeat(F.lit(" "), at - 1), F.repeat(F.lit("^"), F.length(part)))).otherwise("")

@@ -1,59 +1,63 @@
-"""Objects that a SQL corpus defines, with dependencies, columns and policy violations."""
+"""Objects that a SQL corpus defines, with dependencies, columns, lineage and policy violations."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as S
-from ..functions.tokens import object_columns
+from ..functions.analysis import MUST_ALTER, OBJECT, objects_of
+from .tables import settled
 
-
-def _matches(clean: Column, pattern: str, groups: dict[str, int], drop: bool) -> Column:
-    lists = {k: F.regexp_extract_all(clean, F.lit(pattern), F.lit(g)) for k, g in groups.items()}
-    kind, name = lists["kind"], lists["name"]
-    form = lists.get("form", F.transform(name, lambda _: F.lit("")))
-    squeezed = lambda x: F.upper(F.regexp_replace(x, r"\s+", " "))
-    return F.transform(
-        F.arrays_zip(form.alias("form"), kind.alias("kind"), name.alias("name")),
-        lambda m: F.struct(squeezed(m["form"]).alias("form"), squeezed(m["kind"]).alias("object_type"), m["name"].alias("raw_name"), F.lit(drop).alias("is_drop")),
-    )
-
-
-def parsed(corpus: DataFrame, variables: dict[str, str] | None = None) -> DataFrame:
-    """Adds resolved_sql, clean, in_schema, in_database, dependencies (of the file)."""
-    out = corpus.withColumn("resolved_sql", S.substituted(F.col("raw_sql"), variables or {}))
-    out = out.withColumn("clean", S.stripped(F.col("resolved_sql")))
-    out = out.withColumn("in_schema", S.last_use(F.col("clean"), "SCHEMA")).withColumn("in_database", S.last_use(F.col("clean"), "DATABASE"))
-    return out.withColumn("dependencies", F.array_union(S.references(F.col("clean"), F.col("in_schema")), S.declared_dependencies(F.col("resolved_sql"))))
+OUT = ("file_path", *OBJECT.names, "raw_sql", "resolved_sql", "checksum")
 
 
 def objects(corpus: DataFrame, variables: dict[str, str] | None = None) -> DataFrame:
-    """A row for each CREATE and DROP; a file without one is a SCRIPT named after it."""
-    files = parsed(corpus, variables)
-    found = F.concat(_matches(F.col("clean"), S.CREATE, {"form": 1, "kind": 2, "name": 3}, False), _matches(F.col("clean"), S.DROP, {"kind": 1, "name": 2}, True))
-    script = F.array(F.struct(F.lit("").alias("form"), F.lit("SCRIPT").alias("object_type"), S.path_stem(F.col("file_path")).alias("raw_name"), F.lit(False).alias("is_drop")))
-    rows = files.withColumn("o", F.explode(F.when(F.size(found) > 0, found).otherwise(script))).select("*", "o.*").drop("o")
-    scoped = F.concat_ws(".", "in_database", "in_schema")
-    rows = rows.withColumn("fqn", F.when(F.col("object_type") == "SCRIPT", F.concat_ws(".", F.nullif(scoped, F.lit("")), F.upper("raw_name"))).otherwise(S.resolved(F.col("raw_name"), F.col("in_schema"))))
-    rows = rows.withColumn("dependencies", F.array_sort(F.array_except("dependencies", F.array("fqn"))))
-    kinds = F.col("object_type").isin("TABLE", "VIEW", "MATERIALIZED VIEW") & ~F.col("is_drop")
-    rows = rows.withColumn("columns", F.when(kinds, object_columns("clean", "object_type", "raw_name")).otherwise(F.array().cast("array<struct<name:string,type:string>>")))
-    return rows.select("file_path", "object_type", "fqn", "form", "raw_name", "raw_sql", "resolved_sql", "clean", "in_schema", "dependencies", "columns", "checksum", "is_drop")
+    """A row for each CREATE and DROP; a file without one is a SCRIPT named after it.
+
+    ``checksum`` is the file's; ``script`` what is to be run for this object alone.
+    """
+    files = corpus.withColumn("resolved_sql", S.substituted(F.col("raw_sql"), variables or {}))
+    return files.withColumn("o", F.explode(objects_of("resolved_sql", "file_path"))).select("*", "o.*").select(*OUT)
+
+
+def cached_objects(corpus: DataFrame, variables: dict[str, str] | None, cache: str) -> DataFrame:
+    """The same, but files are parsed only if the cache (a Parquet folder) has none of their path, checksum and variables."""
+    spark = corpus.sparkSession
+    key = F.md5(F.concat_ws("\x1f", "file_path", "checksum", F.lit(repr(sorted((variables or {}).items())))).cast("binary"))
+    corpus = corpus.withColumn("cache_key", key)
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    keyed = lambda files: objects(files, variables).withColumn("cache_key", key)
+    if not system.exists(path):
+        fresh = settled(keyed(corpus))
+        fresh.write.parquet(cache)
+        return fresh.drop("cache_key")
+    known = spark.read.parquet(cache)
+    kept = known.join(corpus.select("cache_key"), "cache_key", "left_semi")
+    new = corpus.join(known.select("cache_key").distinct(), "cache_key", "left_anti")
+    if new.isEmpty() and kept.select("cache_key").distinct().count() == known.select("cache_key").distinct().count():
+        return kept.drop("cache_key")
+    now = settled(kept.select(*OUT, "cache_key").unionByName(keyed(new)))
+    now.write.mode("overwrite").parquet(cache)  # from the settled copy
+    return now.drop("cache_key")
 
 
 def current(found: DataFrame) -> DataFrame:
-    """One definition of each name: the last by path."""
-    order = Window.partitionBy("fqn").orderBy(F.desc("file_path"))
-    return found.where(~F.col("is_drop")).withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+    """One definition of each name: the last by path and place."""
+    rest = [c for c in found.columns if c != "fqn"]
+    last = F.max_by(F.struct(*rest), F.struct("file_path", "line_number"))
+    return found.where(~F.col("is_drop")).groupBy("fqn").agg(last.alias("r")).select("fqn", "r.*").select(*found.columns)
+
+
+def shadowed(found: DataFrame) -> DataFrame:
+    """(fqn, file_path) of definitions that a later file replaces."""
+    kept = current(found).select("fqn", F.col("file_path").alias("kept_path"))
+    return found.where(~F.col("is_drop")).join(kept, "fqn").where("file_path <> kept_path").select("fqn", "file_path", "kept_path")
 
 
 def violations(found: DataFrame) -> DataFrame:
-    """Objects of types that must be CREATE OR ALTER and are not, with the first line that shows it."""
-    bad = found.where(~F.col("is_drop") & F.col("object_type").isin(S.MUST_ALTER) & (F.col("form") != "OR ALTER"))
-    lines = F.transform(F.split("resolved_sql", "\n"), lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("source_line")))
-    hit = F.filter(lines, lambda l: l["source_line"].rlike(r"(?i)\bCREATE\b") & F.upper(l["source_line"]).contains(F.upper("raw_name")))
-    first = F.get(hit, F.lit(0))
-    shown = F.concat_ws(" ", F.lit("CREATE"), F.nullif(F.col("form"), F.lit("")), F.col("object_type"))
-    wanted = F.concat(F.lit("CREATE OR ALTER "), F.col("object_type"))
-    return bad.select("file_path", "object_type", "fqn", shown.alias("found_form"), wanted.alias("suggested_form"), first["source_line"].alias("source_line"), first["line_number"].alias("line_number"))
+    """Objects of types that must be CREATE OR ALTER and are not, with the line of the statement."""
+    bad = found.where(~F.col("is_drop") & F.col("object_type").isin(MUST_ALTER) & (F.col("form") != "OR ALTER"))
+    shown = F.concat_ws(" ", F.lit("CREATE"), F.nullif(F.col("form"), F.lit("")))
+    return bad.select("file_path", "object_type", "fqn", shown.alias("found_form"), F.lit("CREATE OR ALTER").alias("suggested_form"), "source_line", "line_number")

@@ -1,7 +1,9 @@
 """Graphs of objects as edge tables (source depends on target).
 
-Every algorithm is a loop of equi-joins on the frontier, whose plan is cut each
-round; nothing is gathered on the driver but the row counts that end a loop.
+Every algorithm is a loop of equi-joins on the frontier. A round writes what it
+has found and nothing else; earlier rounds are read from their files, which go
+when the loop ends. Nothing is gathered on the driver but whether a round found
+anything. A loop takes as many rounds as the longest path has edges.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import settled
+from .tables import Rounds, settled
 
 
 def known_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -37,18 +39,24 @@ def reverse_index(edges: DataFrame) -> DataFrame:
 
 
 def topo_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fqn, level): level 0 depends on nothing; vertices on or behind a cycle have a null level."""
-    left, pending = vertices.select("fqn").distinct(), edges.select("source", "target").distinct()
-    done, level = None, 0
-    while True:
-        ready = settled(left.join(pending.select(F.col("source").alias("fqn")), "fqn", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            rest = left.withColumn("level", F.lit(None).cast("int"))
-            return rest if done is None else done.union(rest)
-        done = ready if done is None else done.union(ready)
-        left = settled(left.join(ready, "fqn", "left_anti"))
-        pending = settled(pending.join(ready.select(F.col("fqn").alias("target")), "target", "left_anti"))
+    """(fqn, level): level 0 depends on nothing; vertices on or behind a cycle have a null level.
+
+    A vertex is ready once as many of its dependencies are done as it has; each
+    round counts those that the last round's vertices settle.
+    """
+    every = vertices.select("fqn").distinct()
+    steps = settled(edges.select("source", "target").distinct())
+    needs = settled(steps.groupBy("source").agg(F.count("*").alias("needs")))
+    done, arrived, level = Rounds(), Rounds(), 0
+    ready = done.add(every.join(needs.select(F.col("source").alias("fqn")), "fqn", "left_anti").withColumn("level", F.lit(0)))
+    while not ready.isEmpty():
         level += 1
+        new = arrived.add(steps.join(ready.select(F.col("fqn").alias("target")), "target").groupBy("source").agg(F.count("*").alias("n")))
+        so_far = arrived.all().join(new.select("source"), "source", "left_semi").groupBy("source").agg(F.sum("n").alias("n"))
+        now = so_far.join(needs, "source").where("n = needs").select(F.col("source").alias("fqn"), F.lit(level).alias("level"))
+        ready = done.add(now.join(every, "fqn", "left_semi"))
+    rest = every.join(done.all().select("fqn"), "fqn", "left_anti").withColumn("level", F.lit(None).cast("int"))
+    return done.result(done.all().union(rest), arrived)
 
 
 def cycle_residue(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -79,14 +87,13 @@ def cycle_witness(vertices: DataFrame, edges: DataFrame) -> list[str]:
 def closure(edges: DataFrame, start: DataFrame, *, dependents: bool = True) -> DataFrame:
     """(vertex) all that (transitively) depend on ``start``, or that it depends on; starts only if on a cycle."""
     near, far = ("target", "source") if dependents else ("source", "target")
-    steps = edges.select(F.col(near).alias("at"), F.col(far).alias("vertex")).distinct()
-    frontier, seen = start.select(F.col(start.columns[0]).alias("at")).distinct(), None
+    steps = settled(edges.select(F.col(near).alias("at"), F.col(far).alias("vertex")).distinct())
+    frontier, seen = start.select(F.col(start.columns[0]).alias("at")).distinct(), Rounds()
     while True:
         found = frontier.join(steps, "at").select("vertex").distinct()
-        found = settled(found if seen is None else found.join(seen, "vertex", "left_anti"))
+        found = seen.add(found.join(seen.all(), "vertex", "left_anti") if seen.paths else found)
         if found.isEmpty():
-            return found if seen is None else seen
-        seen = found if seen is None else settled(seen.union(found))
+            return seen.result()
         frontier = found.withColumnRenamed("vertex", "at")
 
 
@@ -104,21 +111,29 @@ def subgraph(vertices: DataFrame, dependencies: DataFrame, lineage_edges: DataFr
     if direction in ("down", "both"):
         ways.append(both.select(F.col("target").alias("at"), F.col("source").alias("vertex")))
     steps = (ways[0] if len(ways) == 1 else ways[0].union(ways[1])).distinct()
-    frontier = seen = spark.createDataFrame([(focus,)], "vertex string")
+    frontier = spark.createDataFrame([(focus,)], "vertex string")
+    rounds = Rounds()
+    rounds.add(frontier)
     for _ in range(depth):
         found = frontier.select(F.col("vertex").alias("at")).join(steps, "at").select("vertex").distinct()
-        frontier = settled(found.join(seen, "vertex", "left_anti"))
-        seen = settled(seen.union(frontier))
+        frontier = rounds.add(found.join(rounds.all(), "vertex", "left_anti"))
+        if frontier.isEmpty():
+            break
+    frontier = settled(frontier)
+    seen = rounds.result()
     beyond = []
     if direction in ("up", "both"):
         beyond.append(dependencies.select(F.col("source").alias("at"), F.col("target").alias("vertex")))
     if direction in ("down", "both"):
         beyond.append(dependencies.select(F.col("target").alias("at"), F.col("source").alias("vertex")))
     truncated = any(not frontier.select(F.col("vertex").alias("at")).join(b, "at").join(seen, "vertex", "left_anti").isEmpty() for b in beyond)
-    nodes = seen.join(vertices.withColumnRenamed("fqn", "vertex"), "vertex", "left").select(F.col("vertex").alias("fqn"), F.coalesce("object_type", F.lit("EXTERNAL")).alias("object_type"))
+    known = vertices.withColumnRenamed("fqn", "vertex")
+    more = [c for c in ("file_path", "columns") if c in vertices.columns]
+    nodes = seen.join(known, "vertex", "left").select(F.col("vertex").alias("fqn"), F.coalesce("object_type", F.lit("EXTERNAL")).alias("object_type"), *more)
     every = dependencies.select("source", "target", F.lit("dependency").alias("type")).union(lineage_edges.select("source", "target", "type"))
     edges = every.join(seen.withColumnRenamed("vertex", "source"), "source", "left_semi").join(seen.withColumnRenamed("vertex", "target"), "target", "left_semi").distinct()
-    return nodes.orderBy("fqn"), edges.select("source", "target", "type"), truncated
+    typed = edges.join(vertices.select(F.col("fqn").alias("source"), "object_type"), "source", "left")
+    return nodes.orderBy("fqn"), typed.select("source", "target", "type", F.coalesce("object_type", F.lit("UNKNOWN")).alias("object_type")), truncated
 
 
 def layers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -137,3 +152,45 @@ def node_types(edges: DataFrame, known: DataFrame) -> DataFrame:
     ends = edges.select(F.col("source").alias("fqn")).union(edges.select("target")).distinct()
     told = edges.groupBy(F.col("source").alias("fqn")).agg(F.max("object_type").alias("told"))
     return ends.join(known.select("fqn", F.col("object_type").alias("known")), "fqn", "left").join(told, "fqn", "left").select("fqn", F.coalesce("known", "told", F.lit("EXTERNAL")).alias("object_type"))
+
+
+def external(objects: DataFrame) -> DataFrame:
+    """(fqn, file_path, target): dependencies on what no file of the project defines."""
+    named = objects.select("fqn", "file_path", F.explode("dependencies").alias("target"))
+    return named.join(objects.select(F.col("fqn").alias("target")), "target", "left_anti").select("fqn", "file_path", "target")
+
+
+def edge_stats(edges: DataFrame) -> DataFrame:
+    """One row: how many nodes, edges, reads and writes."""
+    kind = F.lower("type")
+    ends = edges.select(F.posexplode(F.array("source", "target")).alias("end", "fqn"), kind.alias("kind"))
+    first = F.col("end") == 0
+    return ends.agg(
+        F.countDistinct("fqn").alias("n_nodes"), F.count_if(first).alias("n_edges"),
+        F.count_if(first & (F.col("kind") == "reads")).alias("n_reads"), F.count_if(first & (F.col("kind") == "writes")).alias("n_writes"),
+    )
+
+
+def badges(edges: DataFrame) -> DataFrame:
+    """(fqn, n_reads, n_writes) of every object that reads or writes."""
+    kind = F.lower("type")
+    return edges.where(kind.isin("reads", "writes")).groupBy(F.col("source").alias("fqn")).agg(F.count_if(kind == "reads").alias("n_reads"), F.count_if(kind == "writes").alias("n_writes"))
+
+
+def view(nodes: DataFrame, edges: DataFrame, *, node_types: list[str] | None = None, edge_types: list[str] | None = None, search: str = "") -> tuple[DataFrame, DataFrame]:
+    """The part of a graph that filters leave: nodes of some types, edges of some types; what a search finds, and its direct neighbours."""
+    nodes = nodes.where(F.col("object_type").isin(node_types)) if node_types is not None else nodes
+    edges = edges.where(F.lower("type").isin([t.lower() for t in edge_types])) if edge_types is not None else edges
+    names = nodes.select("fqn")
+    inner = edges.join(names.withColumnRenamed("fqn", "source"), "source", "left_semi").join(names.withColumnRenamed("fqn", "target"), "target", "left_semi")
+    if search:
+        hit = names.where(F.contains(F.upper("fqn"), F.lit(search.upper())))
+        touched = inner.join(hit.withColumnRenamed("fqn", "source"), "source", "left_semi").union(inner.join(hit.withColumnRenamed("fqn", "target"), "target", "left_semi").select(*inner.columns))
+        near = hit.union(touched.select("source")).union(touched.select("target")).distinct()
+        return nodes.join(near, "fqn", "left_semi"), touched.distinct().select(*edges.columns)
+    return nodes, inner.select(*edges.columns)
+
+
+def picked(objects: DataFrame, part: str, most: int = 50) -> DataFrame:
+    """The first names, in order, that contain a text in any case: a list to pick from."""
+    return objects.where(F.contains(F.upper("fqn"), F.lit(part.upper()))).orderBy("fqn").limit(most)

@@ -7,12 +7,17 @@ are compared as they are; only ``not_null`` looks for blanks and NULL in any cas
 from __future__ import annotations
 
 import ast
+import heapq
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import settled
+
 KEPT = 20
 BUILTINS = {f.__name__: f for f in (int, float, str, bool, len, abs, min, max, round, sum, sorted)}
 RESULT = "test_case string, passed boolean, message string, n_failing long, failing_rows array<string>"
@@ -136,23 +141,34 @@ def violations(case: Case, table: DataFrame, target: DataFrame | None = None) ->
     raise ValueError(f"no test {case.test!r}; there are unique, not_null, accepted_values, row_count, relationship, expression, sql_expression")
 
 
+def _heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The count of a partition's rows, and its first KEPT."""
+    n, first = 0, []
+    for batch in batches:
+        n += batch.num_rows
+        first = heapq.nsmallest(KEPT, [*first, *zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])
+    yield pa.RecordBatch.from_arrays([pa.array([n, *[0] * len(first)], pa.int64()), pa.array([None, *(o for o, _ in first)], pa.int64()), pa.array([None, *(m for _, m in first)], pa.string())], names=["n", "ordinal", "message"])
+
+
 def summary(name: str, found: DataFrame) -> DataFrame:
-    """One result row: the count is of all violations, the first KEPT are shown."""
-    first = found.orderBy("ordinal").limit(KEPT).agg(F.array_sort(F.collect_list(F.struct("ordinal", "message"))).alias("shown"))
-    return found.agg(F.count("*").alias("n")).crossJoin(first).select(
+    """One result row, from one pass: the count is of all violations, the first KEPT are shown."""
+    heads = found.select(F.col("ordinal").cast("long"), "message").mapInArrow(_heads, "n long, ordinal long, message string")
+    shown = F.slice(F.array_sort(F.collect_list(F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", "message")))), 1, KEPT)
+    return heads.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), shown.alias("shown")).select(
         F.lit(name).alias("test_case"), (F.col("n") == 0).alias("passed"), F.when(F.col("n") == 0, "ok").otherwise(F.concat(F.col("n"), F.lit(" failing"))).alias("message"),
         F.col("n").alias("n_failing"), F.col("shown.message").alias("failing_rows"),
     )
 
 
 def run(spark: SparkSession, cases: list[Case], tables) -> DataFrame:
-    """Results of all cases; ``tables(name)`` gives a table. A case that cannot run has failed."""
+    """Results of all cases; ``tables(name)`` gives a table. Each case runs by itself, and one that cannot has failed."""
     out = spark.createDataFrame([], RESULT)
     for case in cases:
         try:
             table = tables(case.source)
-            result = summary(case.name, violations(case, table, tables(case.to) if case.to else None))
+            result = settled(summary(case.name, violations(case, table, tables(case.to) if case.to else None)))
         except Exception as e:
-            result = spark.createDataFrame([(case.name, False, f"Error running test: {e}", 0, [])], RESULT)
+            reason = str(e).strip().splitlines() or [type(e).__name__]
+            result = spark.createDataFrame([(case.name, False, f"Error running test: {reason[0]}", 0, [])], RESULT)
         out = out.unionByName(result)
     return out

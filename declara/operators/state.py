@@ -20,7 +20,7 @@ def latest(history: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def latest_success(history: DataFrame) -> DataFrame:
-    return latest(history.where("status = 'SUCCESS'"), "object_fqn", F.col("deployed_at"), F.col("id"))
+    return latest(succeeded(history), "object_fqn", F.col("deployed_at"), F.col("id"))
 
 
 def changed(current: DataFrame, last: DataFrame, key: str = "fqn") -> DataFrame:
@@ -90,11 +90,34 @@ class Store:
         out.coalesce(1).write.insertInto(f"{self.schema}.deploy_history")
 
     def snapshot(self, edges: DataFrame) -> None:
-        """Replaces the lineage table by the edges (source, target, type, object_type)."""
+        """Replaces the lineage table by the edges (source, target, type, object_type; file_path and description, where they are there)."""
+        given = lambda c: F.coalesce(F.col(c), F.lit("")) if c in edges.columns else F.lit("")
         self.replace(
             "object_lineage",
             edges.select(
                 F.monotonically_increasing_id().alias("id"), F.col("source").alias("object_fqn"), "object_type", F.upper("type").alias("edge_type"), F.col("target").alias("related_fqn"),
-                F.lit("").alias("file_path"), F.lit("").alias("description"), F.current_timestamp().alias("recorded_at"), F.current_user().alias("recorded_by"),
+                given("file_path").alias("file_path"), given("description").alias("description"), F.current_timestamp().alias("recorded_at"), F.current_user().alias("recorded_by"),
             ),
         )
+
+    def lineage(self) -> DataFrame:
+        """The stored edges by object: (source, target, type, object_type, file_path, description)."""
+        return edges_of(self.read("object_lineage").orderBy("object_fqn", "related_fqn", "edge_type"))
+
+    def known(self) -> DataFrame:
+        """(fqn, object_type) of everything that was ever deployed, as of its last success."""
+        return latest_success(self.read("deploy_history")).select(F.col("object_fqn").alias("fqn"), "object_type")
+
+
+def edges_of(rows: DataFrame) -> DataFrame:
+    """Rows of the lineage table as edges."""
+    return rows.select(F.col("object_fqn").alias("source"), F.col("related_fqn").alias("target"), F.lower("edge_type").alias("type"), "object_type", "file_path", "description")
+
+
+def listing(history: DataFrame, most: int = 20) -> DataFrame:
+    """The last records, newest first."""
+    return history.orderBy(F.desc("deployed_at"), F.desc("id")).limit(most)
+
+
+def succeeded(history: DataFrame) -> DataFrame:
+    return history.where("status = 'SUCCESS'")

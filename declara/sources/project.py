@@ -3,19 +3,57 @@
 from __future__ import annotations
 
 import csv
+import fnmatch
 import io
+import logging
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
+
+def there(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def listed(spark: SparkSession, folder: str, glob: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files below a folder, empty ones too, in order. Nothing where there is no folder."""
+    if not there(spark, folder):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():  # a project's files
+        one = found.next()
+        if fnmatch.fnmatch(one.getPath().getName(), glob):
+            out.append((one.getPath().toString(), one.getLen()))
+    return sorted(out)
+
+
+def read_texts(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """(file_path, text) of all files below a folder, in the order of paths; a file that cannot be read is logged and left out."""
+    if not there(spark, folder):
+        log.error("no folder %s", folder)
+        return spark.createDataFrame([], "file_path string, text string")
+    files = spark.read.option("ignoreCorruptFiles", True).text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")).orderBy("file_path")
+
 
 def read_corpus(spark: SparkSession, folder: str, glob: str = "*.sql") -> DataFrame:
     """(file_path, raw_sql, checksum) of all SQL files below a folder, a row each."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("raw_sql"), F.md5(F.col("value").cast("binary")).alias("checksum"))
+    return read_texts(spark, folder, glob).select("file_path", F.col("text").alias("raw_sql"), F.md5(F.col("text").cast("binary")).alias("checksum"))
+
+
+def read_csv_fast(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
+    """A CSV file as a table of strings, by Spark's own reader: no ordinals, and an empty field is a null like a missing one.
+
+    Records of other widths are cut or padded. With ``multiline=False`` no quoted
+    field may hold a line end, and a large file is split between tasks.
+    """
+    return spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("encoding", "UTF-8").csv(path)
 
 
 def read_csv_strict(spark: SparkSession, path: str, *, keep_blank: bool = False, pad: str | None = "") -> DataFrame:
@@ -38,6 +76,8 @@ def read_csv_strict(spark: SparkSession, path: str, *, keep_blank: bool = False,
                     if not fields and not keep_blank:
                         continue
                     at += 1
+                    if len(fields) > len(header):
+                        log.warning("%s: record %d has %d fields, the header %d; the rest is cut", path, at, len(fields), len(header))
                     rows.append((path, checksum, at, header, (fields + [pad] * len(header))[: len(header)]))
                     if len(rows) >= 10_000:
                         yield pd.DataFrame(rows, columns=names)
@@ -53,35 +93,47 @@ def read_csv_strict(spark: SparkSession, path: str, *, keep_blank: bool = False,
 
 def csv_table(spark: SparkSession, path: str, *, pad: str | None = None) -> DataFrame:
     """One CSV file as a table of strings, with ``ordinal``."""
-    with open(path, encoding="utf-8-sig", newline="") as f:
-        header = next(csv.reader(f), None)
-    if header is None:
+    if not there(spark, path):
+        raise FileNotFoundError(path)
+    header = read_csv_fast(spark, path).columns
+    if not header:
         raise ValueError(f"{path} is empty")
     rows = read_csv_strict(spark, path, pad=pad)
     return rows.select("ordinal", *(F.get("fields", F.lit(i)).alias(name) for i, name in enumerate(header)))
 
 
-def sidecar(path: str | Path) -> dict:
-    """A YAML file beside another one: <stem>.yml, then <stem>.yaml; else nothing."""
+def sidecars(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """The YAML files below a folder by path without suffix; <stem>.yml goes before <stem>.yaml."""
     import yaml
 
-    for suffix in (".yml", ".yaml"):
-        found = Path(path).with_suffix(suffix)
-        if found.exists():
-            return yaml.safe_load(found.read_text()) or {}
-    return {}
+    out: dict[str, dict] = {}
+    for glob in ("*.yaml", "*.yml"):
+        for r in read_texts(spark, folder, glob).collect() if there(spark, folder) else []:  # a project's sidecars
+            told = yaml.safe_load(r["text"])
+            out[r["file_path"].rsplit(".", 1)[0]] = told if isinstance(told, dict) else {}
+    return out
+
 
+def stem_of(path: str) -> str:
+    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
-def column_types(path: str | Path) -> dict[str, str]:
-    return {str(k).upper(): str(v) for k, v in (sidecar(path).get("columns") or {}).items()}
+
+def column_types(told: dict) -> dict[str, str]:
+    """Declared types of a sidecar, by upper-cased column."""
+    return {str(k).upper(): str(v) for k, v in (told.get("columns") or {}).items()}
 
 
 def declared_lineage(spark: SparkSession, folder: str) -> DataFrame:
     """(file_path, sources, targets, description) from sidecars of SQL files that name any."""
-    rows = []
-    for sql in sorted(Path(folder).rglob("*.sql")):
-        told = sidecar(sql)
-        lists = [[str(x).strip().upper() for x in told.get(k) or []] for k in ("sources", "targets")]
+    told, rows = sidecars(spark, folder), []
+    for path, _ in listed(spark, folder, "*.sql") if told else []:
+        own = next((v for k, v in told.items() if _bare(k) == _bare(path.rsplit(".", 1)[0])), {})
+        lists = [[str(x).strip().upper() for x in own.get(k) or []] for k in ("sources", "targets")]
         if any(lists):
-            rows.append((f"file://{sql.absolute()}", *lists, str(told.get("description") or "")))
+            rows.append((path, *lists, str(own.get("description") or "")))
     return spark.createDataFrame(rows, "file_path string, sources array<string>, targets array<string>, description string")
+
+
+def _bare(path: str) -> str:
+    return "/" + path.split(":", 1)[-1].lstrip("/")
+

@@ -7,7 +7,7 @@ from declara.functions.tokens import columns, list_items, statements
 from declara.functions.types import UnknownType, spark_type
 from declara.operators import extract, graph, quality, state
 from declara.operators.lineage import lineage
-from declara.plans.dialect import UnsupportedStatement, rewrite
+from declara.plans.dialect import UnsupportedStatement, bound, rewrite
 from declara.sources.project import csv_table, read_corpus
 
 
@@ -58,7 +58,7 @@ def test_objects(found):
     assert set(rows["SALES.V"]["dependencies"]) == {"SALES.BASE", "SALES.LINES", "OTHER.THING"}
     assert rows["SALES.OLD"]["is_drop"] and rows["GRANTS"]["object_type"] == "SCRIPT" and rows["GRANTS"]["dependencies"] == ["SALES.BASE"]
     bad = extract.violations(found).collect()
-    assert [(r["fqn"], r["line_number"]) for r in bad] == [("SALES.V", 3)]
+    assert [(r["fqn"], r["line_number"], r["found_form"]) for r in bad] == [("SALES.V", 3, "CREATE")]
 
 
 def test_lineage(found):
@@ -135,9 +135,17 @@ def test_store(spark):
 
 
 def test_dialect():
+    for kept in ("SELECT 'x/*y*/z'", "INSERT INTO t VALUES ('a--b', 1)", "SELECT 'a%sb' -- it's"):
+        assert rewrite(kept).sql == kept
+    assert rewrite("CREATE OR ALTER VIEW v AS SELECT 'a--b' AS x").sql == "CREATE OR REPLACE VIEW v AS SELECT 'a--b' AS x"
+    assert bound("SELECT '%s', a FROM t WHERE b = %s -- %s") == "SELECT '%s', a FROM t WHERE b = ? -- %s"
+    replaced = rewrite("CREATE OR REPLACE TABLE t (a INT DEFAULT 3 NOT NULL, b DATE, PRIMARY KEY (a))")
+    assert replaced.before == ["DROP TABLE IF EXISTS t"] and "`A` bigint DEFAULT 3" in replaced.sql and "PRIMARY KEY (a)" in replaced.sql
+    assert rewrite("CREATE TABLE t (a INT)").sql.startswith("CREATE TABLE t (")
+    assert rewrite('SELECT "Odd" FROM db.s."t u"').sql == "SELECT `Odd` FROM s.`t u`"
     assert rewrite("CREATE OR ALTER SCHEMA db.s").sql == "CREATE SCHEMA IF NOT EXISTS s"
     assert rewrite("GRANT SELECT ON TABLE t TO ROLE r").sql is None
     assert "ADD COLUMNS" in rewrite("CREATE OR ALTER TABLE t (a INT, b INT)", ["a"]).sql
-    for refused in ("MERGE INTO t USING s ON 1=1", "CREATE FUNCTION f() RETURNS INT LANGUAGE JAVASCRIPT AS 'x'", "CREATE OR ALTER TABLE t (a WIBBLE)"):
+    for refused in ("MERGE INTO t USING s ON 1=1", "DELETE FROM t USING s", "CREATE FUNCTION f() RETURNS INT LANGUAGE JAVASCRIPT AS 'x'", "CREATE OR ALTER TABLE t (a WIBBLE)"):
         with pytest.raises(UnsupportedStatement):
             rewrite(refused)
