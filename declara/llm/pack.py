@@ -40,18 +40,27 @@ from .kept import Cache, held
 COUNTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 #: Letters that lower-case one to one and are stable under NFC; then marks, but for the one of contractions.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+PROBES = ("Some words, and MORE (ünïts) -- ok!", "été l'an 12x ß ÿ", "")
+#: In byte-level vocabularies a byte is its Latin-1 sign where that can be printed; the others are numbered from 256 on, in order.
+_PRINTED = [b for b in range(256) if b in range(33, 127) or b in range(161, 173) or b >= 174]
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class WordTokenizer:
     """Ids of a text, as bytes of little-endian 32-bit numbers."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known = Cache(remembered, self._chunk)
+        # Another vocabulary, whose words are not made like this one's, takes texts whole.
+        self.by_word = all(self._direct(x) == b"".join(map(self._chunk, x.split(" "))) for x in PROBES)
 
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._direct(text)
         return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
     def _chunk(self, chunk: str) -> bytes:
@@ -60,13 +69,21 @@ class WordTokenizer:
         if not m:
             return self._direct(chunk)
         word, marks = m[1].lower(), m[2]
-        return self._direct(word) if chunk == word else self.known[word] + (self.known[marks] if marks else b"")
+        return self._run(word) if chunk == word else self.known[word] + (self._run(marks) if marks else b"")
+
+    def _run(self, run: str) -> bytes:
+        """Ids of one run of letters or marks, which the model's merges alone make, on the signs that stand for its bytes."""
+        return _packed([t.id for t in self.model.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(BYTE_SIGNS))])
 
     def _direct(self, text: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def _packed(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
 
 
 def fill(lengths: list[int], counts: Counter, room: int) -> Counter:

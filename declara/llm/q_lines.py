@@ -40,5 +40,5 @@ WITH l AS (
   SELECT doc_id, count(*) AS n_lines, count(gone.place) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone.place IS NULL), '') AS rest
   FROM p LEFT JOIN gone USING (place) GROUP BY doc_id
 )
-SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, rest AS text FROM documents LEFT JOIN told USING (doc_id)
+SELECT d.doc_id, coalesce(told.n_lines, 0)::BIGINT AS n_lines, coalesce(told.n_removed, 0)::BIGINT AS n_removed, told.rest AS text FROM documents d LEFT JOIN told USING (doc_id)
 """
