@@ -1,4 +1,4 @@
-"""Command line: plan, deploy, load, graph, lineage, test, resources, init."""
+"""Command line: init, plan, deploy, load, graph, lineage, test, resources, history, apps."""
 
 from __future__ import annotations
 
@@ -62,7 +62,7 @@ def clashes(folder: str) -> list[str]:
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="declara")
-    parser.add_argument("command", choices=["init", "plan", "deploy", "load", "graph", "lineage", "test", "resources", "history"])
+    parser.add_argument("command", choices=["init", "plan", "deploy", "load", "graph", "lineage", "test", "resources", "history", "apps"])
     parser.add_argument("name", nargs="?")
     parser.add_argument("--config", default="declara.yml")
     parser.add_argument("--objects-folder")
@@ -95,6 +95,12 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "lineage" and args.json and not args.local:
         print(json.dumps({"error": "--json needs --local"}))
         return 2
+    if args.command == "apps":
+        from .sources.apps import apps
+
+        found = apps(args.name or ".")
+        print(json.dumps({"apps": found}, indent=2) if args.json else "\n".join(f"{a['name']}  {a['directory']}/{a['main_file']}" for a in found))
+        return 0
     conf = settings(args)
     from .session import session
 
@@ -194,6 +200,8 @@ def _planned(spark, args, conf) -> int:
         if project.violations:
             print(report.violations_text(project.violations))
         print(report.plan_text(project.levels, project.edges))
+        for r in graph.external(project.objects).orderBy("fqn", "target").collect():
+            print(f"warning: {r['fqn']} needs {r['target']}, which no file defines")
         if not plan:
             for r in project.lineage.orderBy("object_fqn").collect():  # a project's procedures and tasks
                 print(f"{r['object_fqn']}: reads {', '.join(r['sources']) or '-'}; writes {', '.join(r['targets']) or '-'}")

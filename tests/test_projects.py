@@ -265,6 +265,16 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     logging.getLogger().handlers.clear()
 
 
+def test_apps(tmp_path, capsys):
+    write(tmp_path, **{"a__snowflake.yml": "definition_version: 2\nentities:\n  two: {type: Streamlit, title: Two, imports: [x.py]}\n  other: {type: function}\n", "b__snowflake.yaml": "streamlit: {main_file: m.py}", "c__snowflake.yml": "a: [", "venv__snowflake.yml": "streamlit: {name: no}", "d__e__f__g__h__i__snowflake.yml": "streamlit: {name: deep}"})
+    for name in ("a", "b", "c", "venv", "d/e/f/g/h/i"):
+        made = next((tmp_path / name).iterdir(), None)
+        assert made is not None
+    assert cli.main(["apps", str(tmp_path), "--json"]) == 0
+    found = json.loads(capsys.readouterr().out)["apps"]
+    assert [(a["name"], a["title"], a["main_file"], a["stage"], a["imports"]) for a in found] == [("b", "b", "m.py", "@b_stage", []), ("two", "Two", "streamlit_app.py", "@two_stage", ["x.py"])]
+
+
 def test_follow(spark, tmp_path):
     store = state.Store(spark, "stream_state")
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
