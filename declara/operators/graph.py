@@ -4,16 +4,52 @@ Every algorithm is a loop of equi-joins on the frontier. A round writes what it
 has found and nothing else; earlier rounds are read from their files, which go
 when the loop ends. Nothing is gathered on the driver but whether a round found
 anything. A loop takes as many rounds as the longest path has edges.
+
+A project's graph is small: up to ``small`` edges, the driver does the same in
+memory, as a round would take longer than all of it. Results do not differ.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Rounds, settled
 
 
+#: Edges, and vertices, up to which the driver works in memory.
+SMALL = 50_000
+
+
+def gathered(rows: DataFrame, most: int) -> list[tuple] | None:
+    """The distinct rows, if there are at most so many."""
+    found = rows.distinct().limit(most + 1).collect() if most else None
+    return None if found is None or len(found) > most else [tuple(r) for r in found]
+
+
+def _made(rows: list[tuple], like: DataFrame, schema: str) -> DataFrame:
+    """A table whose first column has the type of ``like``'s."""
+    return like.sparkSession.createDataFrame(rows, schema.replace("?", like.schema[0].dataType.simpleString()))
+
+
+def _reached(steps: dict, start: set) -> set:
+    """What can be reached from ``start`` in a step or more."""
+    seen, frontier = set(), start
+    while frontier:
+        frontier = {y for x in frontier for y in steps.get(x, ())} - seen
+        seen |= frontier
+    return seen
+
+
+def _steps(pairs: list[tuple]) -> dict:
+    out: dict = defaultdict(list)
+    for a, b in pairs:
+        out[a].append(b)
+    return out
+
+
 def known_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Distinct (source, target) between known vertices, without loops."""
     names = vertices.select(F.col("fqn").alias("target"))
@@ -38,13 +74,17 @@ def reverse_index(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("target").alias("ref")).agg(F.array_sort(F.collect_set("source")).alias("objects"))
 
 
-def topo_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def topo_levels(vertices: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(fqn, level): level 0 depends on nothing; vertices on or behind a cycle have a null level.
 
     A vertex is ready once as many of its dependencies are done as it has; each
     round counts those that the last round's vertices settle.
     """
     every = vertices.select("fqn").distinct()
+    pairs = gathered(edges.select("source", "target"), small)
+    names = gathered(every, small) if pairs is not None else None
+    if names is not None:
+        return _made(_levels({x for (x,) in names}, pairs), every, "fqn ?, level int")
     steps = settled(edges.select("source", "target").distinct())
     needs = settled(steps.groupBy("source").agg(F.count("*").alias("needs")))
     done, arrived, level = Rounds(), Rounds(), 0
@@ -59,15 +99,32 @@ def topo_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return done.result(done.all().union(rest), arrived)
 
 
-def cycle_residue(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    return topo_levels(vertices, edges).where("level is null").select("fqn")
+def _levels(names: set, pairs: list[tuple]) -> list[tuple]:
+    left: dict = defaultdict(int)
+    for source, _ in pairs:
+        left[source] += 1
+    users, out, level = _steps([(b, a) for a, b in pairs]), {}, 0
+    ready = [x for x in names if not left[x]]
+    while ready:
+        out |= dict.fromkeys(ready, level)
+        level, last, ready = level + 1, ready, []
+        for x in last:
+            for user in users.get(x, ()):
+                left[user] -= 1
+                if not left[user] and user in names:
+                    ready.append(user)
+    return [(x, out.get(x)) for x in names]
+
+
+def cycle_residue(vertices: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+    return topo_levels(vertices, edges, small).where("level is null").select("fqn")
 
 
-def on_cycles(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def on_cycles(vertices: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """The residue without what merely leads to a cycle: peeled from the other end too."""
-    rest = cycle_residue(vertices, edges)
+    rest = cycle_residue(vertices, edges, small)
     inner = known_edges(edges, rest)
-    return cycle_residue(rest, inner.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    return cycle_residue(rest, inner.select(F.col("target").alias("source"), F.col("source").alias("target")), small)
 
 
 def cycle_witness(vertices: DataFrame, edges: DataFrame) -> list[str]:
@@ -84,9 +141,13 @@ def cycle_witness(vertices: DataFrame, edges: DataFrame) -> list[str]:
             return path[path.index(step) :]
 
 
-def closure(edges: DataFrame, start: DataFrame, *, dependents: bool = True) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, *, dependents: bool = True, small: int = SMALL) -> DataFrame:
     """(vertex) all that (transitively) depend on ``start``, or that it depends on; starts only if on a cycle."""
     near, far = ("target", "source") if dependents else ("source", "target")
+    pairs = gathered(edges.select(near, far), small)
+    starts = gathered(start.select(start.columns[0]), small) if pairs is not None else None
+    if starts is not None:
+        return _made([(x,) for x in _reached(_steps(pairs), {x for (x,) in starts})], edges.select(far), "vertex ?")
     steps = settled(edges.select(F.col(near).alias("at"), F.col(far).alias("vertex")).distinct())
     frontier, seen = start.select(F.col(start.columns[0]).alias("at")).distinct(), Rounds()
     while True:
@@ -97,7 +158,7 @@ def closure(edges: DataFrame, start: DataFrame, *, dependents: bool = True) -> D
         frontier = found.withColumnRenamed("vertex", "at")
 
 
-def subgraph(vertices: DataFrame, dependencies: DataFrame, lineage_edges: DataFrame, focus: str, depth: int, direction: str) -> tuple[DataFrame, DataFrame, bool] | None:
+def subgraph(vertices: DataFrame, dependencies: DataFrame, lineage_edges: DataFrame, focus: str, depth: int, direction: str, small: int = SMALL) -> tuple[DataFrame, DataFrame, bool] | None:
     """(nodes, edges, truncated) within ``depth`` hops. Up follows dependencies and all a node's lineage; down the reverse."""
     if depth < 1 or direction not in ("up", "down", "both"):
         raise ValueError("depth must be at least 1, and direction up, down or both")
@@ -111,16 +172,24 @@ def subgraph(vertices: DataFrame, dependencies: DataFrame, lineage_edges: DataFr
     if direction in ("down", "both"):
         ways.append(both.select(F.col("target").alias("at"), F.col("source").alias("vertex")))
     steps = (ways[0] if len(ways) == 1 else ways[0].union(ways[1])).distinct()
-    frontier = spark.createDataFrame([(focus,)], "vertex string")
-    rounds = Rounds()
-    rounds.add(frontier)
-    for _ in range(depth):
-        found = frontier.select(F.col("vertex").alias("at")).join(steps, "at").select("vertex").distinct()
-        frontier = rounds.add(found.join(rounds.all(), "vertex", "left_anti"))
-        if frontier.isEmpty():
-            break
-    frontier = settled(frontier)
-    seen = rounds.result()
+    pairs = gathered(steps, small)
+    if pairs is not None:
+        near, seen_names, last = _steps(pairs), {focus}, {focus}
+        for _ in range(depth):
+            last = {y for x in last for y in near.get(x, ())} - seen_names
+            seen_names |= last
+        frontier, seen = (spark.createDataFrame([(x,) for x in some], "vertex string") for some in (last, seen_names))
+    else:
+        frontier = spark.createDataFrame([(focus,)], "vertex string")
+        rounds = Rounds()
+        rounds.add(frontier)
+        for _ in range(depth):
+            found = frontier.select(F.col("vertex").alias("at")).join(steps, "at").select("vertex").distinct()
+            frontier = rounds.add(found.join(rounds.all(), "vertex", "left_anti"))
+            if frontier.isEmpty():
+                break
+        frontier = settled(frontier)
+        seen = rounds.result()
     beyond = []
     if direction in ("up", "both"):
         beyond.append(dependencies.select(F.col("source").alias("at"), F.col("target").alias("vertex")))
@@ -136,9 +205,9 @@ def subgraph(vertices: DataFrame, dependencies: DataFrame, lineage_edges: DataFr
     return nodes.orderBy("fqn"), typed.select("source", "target", "type", F.coalesce("object_type", F.lit("UNKNOWN")).alias("object_type")), truncated
 
 
-def layers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def layers(vertices: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(fqn, layer): longest path from a vertex without dependencies; 0 on and behind cycles."""
-    return topo_levels(vertices, edges).select("fqn", F.coalesce("level", F.lit(0)).alias("layer"))
+    return topo_levels(vertices, edges, small).select("fqn", F.coalesce("level", F.lit(0)).alias("layer"))
 
 
 def data_flow(edges: DataFrame) -> DataFrame:
@@ -179,10 +248,10 @@ def badges(edges: DataFrame) -> DataFrame:
 
 def view(nodes: DataFrame, edges: DataFrame, *, node_types: list[str] | None = None, edge_types: list[str] | None = None, search: str = "") -> tuple[DataFrame, DataFrame]:
     """The part of a graph that filters leave: nodes of some types, edges of some types; what a search finds, and its direct neighbours."""
-    nodes = nodes.where(F.col("object_type").isin(node_types)) if node_types is not None else nodes
+    nodes = settled(nodes.where(F.col("object_type").isin(node_types)) if node_types is not None else nodes)
     edges = edges.where(F.lower("type").isin([t.lower() for t in edge_types])) if edge_types is not None else edges
     names = nodes.select("fqn")
-    inner = edges.join(names.withColumnRenamed("fqn", "source"), "source", "left_semi").join(names.withColumnRenamed("fqn", "target"), "target", "left_semi")
+    inner = settled(edges.join(names.withColumnRenamed("fqn", "source"), "source", "left_semi").join(names.withColumnRenamed("fqn", "target"), "target", "left_semi"))
     if search:
         hit = names.where(F.contains(F.upper("fqn"), F.lit(search.upper())))
         touched = inner.join(hit.withColumnRenamed("fqn", "source"), "source", "left_semi").union(inner.join(hit.withColumnRenamed("fqn", "target"), "target", "left_semi").select(*inner.columns))

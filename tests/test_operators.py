@@ -76,18 +76,21 @@ def test_graph(spark):
     e = edges_of(spark, pairs)
     v = e.select(F.col("source").alias("fqn")).union(e.select("target")).distinct()
     level = {r["fqn"]: r["level"] for r in graph.topo_levels(v, e).collect()}
-    assert all(level[s] > level[d] for s, d in pairs)
+    assert all(level[s] > level[d] for s, d in pairs) and level == {r["fqn"]: r["level"] for r in graph.topo_levels(v, e, small=0).collect()}
     want, grow = set(), {"v01"}
     while grow:
         grow = {s for s, d in pairs if d in grow} - want
         want |= grow
-    assert {r[0] for r in graph.closure(e, spark.createDataFrame([("v01",)], "x string")).collect()} == want
+    for small in (graph.SMALL, 0):  # in memory and by rounds
+        assert {r[0] for r in graph.closure(e, spark.createDataFrame([("v01",)], "x string"), small=small).collect()} == want
 
 
 def test_cycle(spark):
     e = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("c", "z")])
     v = e.select(F.col("source").alias("fqn")).union(e.select("target")).distinct()
-    assert {r[0] for r in graph.cycle_residue(v, e).collect()} == {"a", "b", "c", "x"}
+    for small in (graph.SMALL, 0):
+        assert {r[0] for r in graph.cycle_residue(v, e, small).collect()} == {"a", "b", "c", "x"}
+        assert {r[0] for r in graph.on_cycles(v, e, small).collect()} == {"a", "b", "c"}
     path = graph.cycle_witness(v, e)
     assert path[0] == path[-1] and set(path) == {"a", "b", "c"}
 
@@ -96,8 +99,9 @@ def test_subgraph(spark):
     e = edges_of(spark, [("A", "B"), ("B", "C")])
     v = spark.createDataFrame([(x, "TABLE") for x in "ABC"], "fqn string, object_type string")
     none = spark.createDataFrame([("B", "T", "writes")], "source string, target string, type string")
-    nodes, edges, truncated = graph.subgraph(v, e, none, "b", 1, "up")
-    assert [tuple(r) for r in nodes.collect()] == [("B", "TABLE"), ("C", "TABLE"), ("T", "EXTERNAL")] and not truncated
+    for small in (graph.SMALL, 0):
+        nodes, edges, truncated = graph.subgraph(v, e, none, "b", 1, "up", small)
+        assert [tuple(r) for r in nodes.collect()] == [("B", "TABLE"), ("C", "TABLE"), ("T", "EXTERNAL")] and not truncated
     assert graph.subgraph(v, e, none, "a", 1, "up")[2] and graph.subgraph(v, e, none, "zz", 1, "up") is None
     with pytest.raises(ValueError):
         graph.subgraph(v, e, none, "a", 0, "up")

@@ -291,7 +291,7 @@ def test_rounds_are_removed(spark):
 
     edges = spark.createDataFrame([(f"v{i + 1}", f"v{i}") for i in range(6)], "source string, target string")
     rounds, before = [], len(tables._written)
-    assert graph.closure(edges, spark.createDataFrame([("v0",)], "x string")).count() == 6
+    assert graph.closure(edges, spark.createDataFrame([("v0",)], "x string"), small=0).count() == 6
     for _, path in tables._written[before:]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         rounds.append(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
