@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from .common import quoted, small_batches
 from .kept import Cache, held
 
+BIG = sys.byteorder == "big"
 COUNTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 #: Letters that lower-case one to one and are stable under NFC; then marks, but for the one of contractions.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -65,11 +66,13 @@ class WordTokenizer:
 
     def _chunk(self, chunk: str) -> bytes:
         """A word and the marks after it have ids of their own, and are remembered for other chunks."""
+        if chunk.isascii() and chunk.isalpha() and chunk.islower():
+            return _packed([t.id for t in self.model.tokenize(chunk)])
         m = PLAIN.match(chunk)
         if not m:
             return self._direct(chunk)
         word, marks = m[1].lower(), m[2]
-        return self._run(word) if chunk == word else self.known[word] + (self._run(marks) if marks else b"")
+        return self._run(word) if chunk == word else self.known[word] + (self.known[marks] if marks else b"")
 
     def _run(self, run: str) -> bytes:
         """Ids of one run of letters or marks, which the model's merges alone make, on the signs that stand for its bytes."""
@@ -81,7 +84,7 @@ class WordTokenizer:
 
 def _packed(ids: list[int]) -> bytes:
     found = array("I", ids)
-    if sys.byteorder == "big":
+    if BIG:
         found.byteswap()
     return found.tobytes()
 
