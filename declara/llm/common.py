@@ -8,11 +8,12 @@ import string
 import tempfile
 import uuid
 import weakref
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARK_BITS = 26
+MOST_BITS = 28
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 _written: list[tuple[weakref.ref, str]] = []
 _own: dict[str, str] = {}
@@ -101,24 +102,32 @@ def release() -> None:
 atexit.register(release)
 
 
-def marks_of(ids: DataFrame, key: str) -> DataFrame:
-    """A bitmap of the hashes of ``key``, for ``perhaps_in``: 2 ** MARK_BITS bits at most (8 MiB), whatever the input.
+class Marks(NamedTuple):
+    """A bitmap of hashes, in rows of 4 KiB, and the binary logarithm of its size."""
 
-    Rows are gathered by bucket before bits are set, so that tasks send ids, not bitmaps.
+    rows: DataFrame
+    bits: int
+
+
+def marks_of(ids: DataFrame, key: str) -> Marks:
+    """A bitmap for ``perhaps_in`` of the ``key`` of a stored table: some 16 bits an id, but never over 2 ** MOST_BITS (32 MiB).
+
+    Ids are gathered by bucket before bits are set, so that tasks send ids, not bitmaps.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
+    bits = min(MOST_BITS, max(15, (16 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     placed = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).distinct()
-    return placed.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return Marks(stored(placed.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "marks"), bits)
 
 
-def perhaps_in(rows: DataFrame, key: str, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def perhaps_in(rows: DataFrame, key: str, marks: Marks) -> tuple[DataFrame, DataFrame]:
     """``rows`` in two: those whose ``key`` may be among the ids of ``marks`` (all that are, and a few more), and the rest.
 
     Rows that have no partner thus skip a join's shuffle. The bitmap is broadcast: its size has a bound. Past some
     hundred million ids it fills up, and all rows go to the join.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
-    bits = F.broadcast(marks.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << marks.bits))
+    bits = F.broadcast(marks.rows.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.expr("coalesce(shiftright(_byte, cast(_bit % 8 as int)) & 1, 0) = 1")

@@ -30,8 +30,9 @@ sorted, as a stream, and no text takes part in a global sort or a join.
 Defined results: null text is empty; an empty text, or one of white space, has
 the empty fingerprint, which is like another empty one (1) and unlike all
 others (0); a null id comes before all others; rows that share an id follow each
-other by text, so repeated rows are neighbours; a single document is its own
-successor; an empty table has no rows; other columns are not read.
+other by text, so repeated rows are neighbours (one task reads all rows of an id);
+a single document is its own successor; an empty table has no rows; other columns
+are not read.
 """
 
 from __future__ import annotations

@@ -169,7 +169,7 @@ def _settled_by_variants(docs: DataFrame, classes: DataFrame) -> DataFrame:
     some = half.join(stored(shared, "shared"), "key", "left_semi").select("form").distinct()
     wanted = classes.join(some, "form", "left_semi").groupBy("first.doc_id").agg(F.collect_list("first.line").alias("wanted"))
     wanted = stored(wanted, "wanted")
-    texts, _ = perhaps_in(docs, "doc_id", stored(marks_of(wanted, "doc_id"), "marks"))
+    texts, _ = perhaps_in(docs, "doc_id", marks_of(wanted, "doc_id"))
     varied = stored(_variants(texts.hint("merge").join(wanted, "doc_id").select("doc_id", "text", "wanted")), "variants")
     keyed = varied.select("form", "doc_id", "line", F.posexplode("keys").alias("place", "key")).withColumn("place", F.col("place") - 1)
     shared = keyed.groupBy("key").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo < hi").select("key")
@@ -191,7 +191,7 @@ def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_words: int = 5, shor
     owned, _ = own_keys(table.rows, "own", "id", "text")
     keyed = owned.select(F.col("own").alias("doc_id"), "text").where("text is not null")
     gone = stored(repeated_lines(keyed, max_edits=max_edits, min_words=min_words, short_repeats=short_repeats), "gone")
-    some, others = perhaps_in(owned, "own", stored(marks_of(gone, "doc_id"), "marks"))
+    some, others = perhaps_in(owned, "own", marks_of(gone, "doc_id"))
     found = some.hint("merge").join(gone, F.col("own") == F.col("doc_id"), "left").unionByName(others.withColumn("gone", F.lit(None).cast("array<int>")), allowMissingColumns=True)
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")

@@ -162,9 +162,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, po
     The partners b of each hub a are dealt into portions of about ``portion``
     elements, and portions into groups of about that size.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts, _ = perhaps_in(docs, "doc_id", stored(marks_of(ids, "id"), "marks"))
-    sets = stored(_sets(texts.join(stored(ids, "ids"), F.col("doc_id") == F.col("id"), "left_semi"), shingle), "sets")
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    texts, _ = perhaps_in(docs, "doc_id", marks_of(ids, "id"))
+    sets = stored(_sets(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), shingle), "sets")
     hubs = stored(pairs.groupBy("a").agg(F.sum("n").alias("n")).select("a", F.ceil(F.col("n") / portion).cast("int").alias("parts"), "n"), "hubs")
     groups = max(1, -(-(hubs.agg(F.sum("n")).first()[0] or 0) // portion))
     at = F.pmod(F.xxhash64("a", "part"), F.lit(groups)).alias("at")

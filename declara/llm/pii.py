@@ -328,7 +328,7 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     pairs = lambda c: F.sort_array(F.collect_set(c))
     mapped = mapped.groupBy("row_key").agg(pairs("m").alias("mentions"), pairs("bare").alias("bares"))
     mapped = stored(mapped.withColumnRenamed("row_key", "found_key"), "replacements")
-    some, clean = perhaps_in(table.rows.withColumn("row_key", row_key), "row_key", stored(marks_of(mapped, "found_key"), "marks"))
+    some, clean = perhaps_in(table.rows.withColumn("row_key", row_key), "row_key", marks_of(mapped, "found_key"))
     dirty = some.join(mapped, F.col("row_key") == F.col("found_key"), "left")
     # Longer names first; one of two titles' surrogates, if they differ, for both.
     names = F.array_sort(F.array_distinct(F.transform("bares", lambda b: b["mention"])), lambda a, b: F.length(b) - F.length(a))

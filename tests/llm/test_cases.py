@@ -261,3 +261,21 @@ def test_packed_ids(spark, tables):
     assert not other.by_word and other.encode("A b\n c") == np.array(other.tokenizer.encode("A b\n c", add_special_tokens=False).ids, "<u4").tobytes()
     named = spark.createDataFrame([("a", "x y"), ("b", None)], "name string, body string")
     assert {r["doc_id"] for r in pack.pack(named, id_col="name", text_col="body").collect()} == {"a", "b"}
+
+
+def test_marks(spark):
+    """All rows with a partner are kept, few others, and none twice."""
+    from declara.llm import common
+
+    ids = spark.range(0, 30_000, 3).select(F.col("id").alias("k"))
+    rows = spark.range(30_000).select(F.col("id").alias("own"), F.lit(1).alias("bits"), F.lit(2).alias("bucket"))
+    for most in (common.MOST_BITS, 8):
+        marks = common.marks_of(ids, "k")
+        if most == 8:  # full: everything goes to the join
+            marks = common.Marks(marks.rows.withColumn("bits", F.unhex(F.lit("ff" * 4096))), marks.bits)
+        some, others = common.perhaps_in(rows, "own", marks)
+        assert some.count() + others.count() == 30_000 and some.columns == rows.columns
+        assert some.where("own % 3 = 0").count() == 10_000
+        assert others.count() == 0 if most == 8 else some.count() < 13_000
+    nothing, everything = common.perhaps_in(rows, "own", common.marks_of(ids.limit(0), "k"))
+    assert nothing.isEmpty() and everything.count() == 30_000
