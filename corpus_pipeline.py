@@ -47,7 +47,7 @@ def _without(docs: DataFrame, gone) -> DataFrame:
     kept = Carried(docs, "doc_id", "text")
     keyed, _ = own_keys(kept.rows, "key", "id")
     keys = stored(gone(keyed), "gone")
-    some, others = perhaps_in(keyed, "key", stored(marks_of(keys, "key"), "marks"))
+    some, others = perhaps_in(keyed, "key", marks_of(keys, "key"))
     return kept.out(some.join(keys, "key", "left_anti").unionByName(others))
 
 
