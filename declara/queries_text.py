@@ -176,10 +176,10 @@ def dialect_times(spark, sf_dir):
     return dialect.execute(spark, f"SELECT event_id, {model} AS at, DATEADD(day, -30, {model}) AS before FROM shown")
 
 
-@query("SELECT n_nationkey, 'it''s -- a /*b*/ %s ; ' || n_name AS v FROM nation WHERE n_nationkey = 3")
+@query("SELECT n_nationkey, 'it''s -- a /*b*/ %s ; ' || n_name AS v FROM nation WHERE n_nationkey >= 3")
 def dialect_literals(spark, sf_dir):
     t(spark, sf_dir, "nation").createOrReplaceTempView("nation")
-    return dialect.execute(spark, "SELECT n_nationkey, 'it''s -- a /*b*/ %s ; ' || n_name AS v FROM nation WHERE n_nationkey = %s /* ; */", [3])
+    return dialect.execute(spark, "SELECT n_nationkey, 'it''s -- a /*b*/ %s ; ' || n_name AS v FROM nation WHERE n_nationkey >= %s /* ; */", [3])
 
 
 def changed_table(spark, sf_dir, *statements: str, name: str = "customer") -> DataFrame:
