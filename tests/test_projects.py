@@ -171,6 +171,9 @@ def test_statements_on_tables(spark, tmp_path):
     for refused in ("PUT file://x @s", "CREATE OR ALTER TABLE t (a WIBBLE)", "DELETE FROM a USING b WHERE 1 = 1", "UPDATE t SET a = 1 FROM b WHERE 1 = 1", "CALL no_such_thing()"):
         with pytest.raises(dialect.UnsupportedStatement):
             run(refused)
+    assert [r["tableName"] for r in run("SHOW TERSE TABLES IN SCHEMA db.default LIKE 'tt'").collect()] == ["tt"] and [r["name"] for r in run("SHOW SEQUENCES IN DATABASE d").collect()] == ["SEQ"]
+    run("CREATE OR REPLACE FUNCTION default.plus(a INT, b INT) RETURNS INT LANGUAGE PYTHON HANDLER = 'add' AS $$\ndef add(a, b):\n    return a + b  # ;\n$$")
+    assert run("SELECT plus(id, 2) AS x FROM tt").first()[0] == 7
     run("DROP TABLE tt")
 
 
