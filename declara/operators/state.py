@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import settled
+from .tables import kept_table, settled
 
 HISTORY = "id long, object_fqn string, object_type string, file_path string, checksum string, status string, deployed_at timestamp, deployed_by string, error_message string, executed_sql string"
 LINEAGE = "id long, object_fqn string, object_type string, edge_type string, related_fqn string, file_path string, description string, recorded_at timestamp, recorded_by string"
@@ -67,10 +67,8 @@ class Store:
 
     def __init__(self, spark: SparkSession, schema: str = "declara_state"):
         self.spark, self.schema = spark, schema
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
         for name, columns in (("deploy_history", HISTORY), ("object_lineage", LINEAGE), ("object_lifecycle", LIFECYCLE)):
-            if not spark.catalog.tableExists(f"{schema}.{name}"):
-                spark.createDataFrame([], columns).write.saveAsTable(f"{schema}.{name}")
+            kept_table(spark, schema, name, columns)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.schema}.{name}")

@@ -24,6 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="declara-"))
 
 
+def place(spark: SparkSession, schema: str, name: str) -> str:
+    """Where a table of a schema is kept, by its name, so that files outlive a catalog that is gone with its session."""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    return f"{spark.catalog.getDatabase(schema).locationUri.rstrip('/')}/{name.lower()}"
+
+
+def kept_table(spark: SparkSession, schema: str, name: str, columns: str) -> None:
+    """A Parquet table at its place, with the rows that are there."""
+    at = place(spark, schema, name).replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {schema}.{name} ({columns}) USING parquet LOCATION '{at}'")
+
+
 def _write(df: DataFrame) -> str:
     path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     _written.append((weakref.ref(df.sparkSession), path))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import spark_type
 from ..operators.state import Store, latest_success
+from ..operators.tables import place
 from ..sources.project import _bare, column_types, listed, read_csv_fast, read_csv_strict, sidecars, stem_of
 
 BATCH = 1000
@@ -95,7 +96,7 @@ def load(spark: SparkSession, folder: str, schema: str = "public", store: Store
         for one in found:
             one.rows = read_rows(spark, one.path, keep_blank=keep_blank).count() if one.status == "FOUND" else 0
         return found
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    place(spark, schema, "")
     last = {}
     if store is not None:
         rows = latest_success(store.read("deploy_history").where("object_type = 'DATA'")).select("object_fqn", "checksum")
@@ -108,7 +109,8 @@ def load(spark: SparkSession, folder: str, schema: str = "public", store: Store
         if one.status == "FOUND":
             try:
                 before = spark.table(table).count() if mode == "append" and spark.catalog.tableExists(table) else 0
-                typed(read_rows(spark, one.path, keep_blank=keep_blank), one.types).write.mode(mode).saveAsTable(table)
+                rows = typed(read_rows(spark, one.path, keep_blank=keep_blank), one.types)
+                rows.write.mode(mode).option("path", place(spark, schema, stem_of(one.path))).saveAsTable(table)
                 one.rows, one.status = spark.table(table).count() - before, "SUCCESS"  # from the written files' footers
             except Exception as e:
                 one.status, one.error = "FAILED", str(e)

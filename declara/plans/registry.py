@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.state import latest
+from ..operators.tables import kept_table
 
 COLUMNS = "kind string, name string, statement string, recorded_at timestamp"
 
@@ -13,9 +14,7 @@ COLUMNS = "kind string, name string, statement string, recorded_at timestamp"
 class Registry:
     def __init__(self, spark: SparkSession, schema: str = "declara_state"):
         self.spark, self.table = spark, f"{schema}.registry"
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
-        if not spark.catalog.tableExists(self.table):
-            spark.createDataFrame([], COLUMNS).write.saveAsTable(self.table)
+        kept_table(spark, schema, "registry", COLUMNS)
 
     def add(self, kind: str, name: str, statement: str) -> None:
         row = self.spark.createDataFrame([(kind, name.upper(), statement)], "kind string, name string, statement string")

@@ -249,10 +249,17 @@ def csv_roundtrip(spark, sf_dir):
     if [d.status for d in done] != ["SUCCESS"]:
         raise RuntimeError(str(done))
     out = settled(spark.table(f"{schema}.customers"))
-    spark.sql(f"DROP SCHEMA {schema} CASCADE")
+    _drop(spark, schema)
     return out.select(F.col("C_CUSTKEY").alias("c_custkey"), F.col("C_NAME").alias("c_name"), F.col("C_NATIONKEY").alias("c_nationkey"))
 
 
+def _drop(spark, schema: str) -> None:
+    """The schema with the files of its tables."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(spark.catalog.getDatabase(schema).locationUri)
+    spark.sql(f"DROP SCHEMA {schema} CASCADE")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _rename(spark, folder: str, suffix: str, to: str) -> None:
     """Moves the one file with the suffix."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)

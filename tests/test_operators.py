@@ -136,6 +136,8 @@ def test_store(spark):
     gone = spark.createDataFrame([("A",)], "object_fqn string")
     store.replace("object_lifecycle", state.retire(store.read("object_lifecycle"), gone, "REMOVED", F.current_timestamp()))
     assert store.read("object_lifecycle").first()["status"] == "RETIRED"
+    spark.sql("DROP TABLE state_test.deploy_history")  # as when a catalog goes with its session
+    assert state.Store(spark, "state_test").read("deploy_history").count() == 3
 
 
 def test_dialect():
