@@ -59,7 +59,7 @@ class Rule:
     keywords: tuple[str, ...]
     pattern: re.Pattern
     valid: Callable[[re.Match], bool]
-    #: Where the expression fails, it fails at any later keyword of this run too, so the run is read once.
+    #: Where the expression fails at the start of this run, it fails at any later keyword in it too, so the run is read once.
     run: re.Pattern | None = None
 
 
@@ -74,8 +74,8 @@ RULES = (
     Rule("access", ("akia",), re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
     Rule("hex", (), re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
     Rule("issued", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{36})(?![0-9A-Za-z])"), crc_token),
-    Rule("web", ("eyj",), re.compile(r"(eyJ[\w-]++)\.[\w-]++\.[\w-]++", re.A), web_token, re.compile(r"[\w-]+", re.A)),
-    Rule("key", ("-----begin ",), re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s\\n]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"), lambda m: True),
+    Rule("web", ("eyj",), re.compile(r"(eyJ[\w-]++)\.[\w-]++\.[\w-]++", re.A), web_token, re.compile(r"eyJ[\w-]*", re.A)),
+    Rule("key", ("-----begin ",), re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s\\]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", re.A), lambda m: True),
 )
 ORDER = {rule.kind: i for i, rule in enumerate(RULES)}
 HEX, HEX_LEAST = RULES[2], 24

@@ -311,6 +311,8 @@ def test_secrets():
     kinds = [k for k, _, _ in secrets.scan(text)]
     assert kinds.count("issued") == 1 and kinds.count("access") == 1 and kinds.count("hex") == 1 and kinds.count("assign") == 2
     assert secrets.scan(None) == secrets.scan("") == []
+    token = "eyJhbGciOiAieCJ9.aa.bb"
+    assert secrets.scan(f"xEYjx{token}") == [("web", 5, 5 + len(token))] and secrets.scan(f"eyJeyJ{token}x") == secrets.scan("eyJeyJ" * 9) == []
     plain = {
         "assign": (re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), lambda m: len(m[2]) >= 6),
         "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
