@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext as S
 from ..functions.analysis import MUST_ALTER, OBJECT, objects_of
+from ..sources.project import there
 from .tables import settled
 
 OUT = ("file_path", *OBJECT.names, "raw_sql", "resolved_sql", "checksum")
@@ -22,25 +23,20 @@ def objects(corpus: DataFrame, variables: dict[str, str] | None = None) -> DataF
 
 
 def cached_objects(corpus: DataFrame, variables: dict[str, str] | None, cache: str) -> DataFrame:
-    """The same, but files are parsed only if the cache (a Parquet folder) has none of their path, checksum and variables."""
+    """The same, but files are parsed only if the cache (a Parquet folder) has none of their path, checksum and variables.
+
+    What is parsed is added to the cache; rows of files that are gone stay there until someone removes the folder.
+    """
     spark = corpus.sparkSession
     key = F.md5(F.concat_ws("\x1f", "file_path", "checksum", F.lit(repr(sorted((variables or {}).items())))).cast("binary"))
-    corpus = corpus.withColumn("cache_key", key)
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    keyed = lambda files: objects(files, variables).withColumn("cache_key", key)
-    if not system.exists(path):
-        fresh = settled(keyed(corpus))
-        fresh.write.parquet(cache)
-        return fresh.drop("cache_key")
-    known = spark.read.parquet(cache)
-    kept = known.join(corpus.select("cache_key"), "cache_key", "left_semi")
-    new = corpus.join(known.select("cache_key").distinct(), "cache_key", "left_anti")
-    if new.isEmpty() and kept.select("cache_key").distinct().count() == known.select("cache_key").distinct().count():
-        return kept.drop("cache_key")
-    now = settled(kept.select(*OUT, "cache_key").unionByName(keyed(new)))
-    now.write.mode("overwrite").parquet(cache)  # from the settled copy
-    return now.drop("cache_key")
+    files = settled(corpus.withColumn("cache_key", key))
+    new = files
+    if there(spark, cache):
+        new = files.join(spark.read.parquet(cache).select("cache_key").distinct(), "cache_key", "left_anti")
+    fresh = settled(objects(new, variables).withColumn("cache_key", key))
+    if not fresh.isEmpty() or not there(spark, cache):
+        fresh.write.mode("append").parquet(cache)
+    return spark.read.schema(fresh.schema).parquet(cache).join(files.select("cache_key"), "cache_key", "left_semi").select(*OUT)
 
 
 def current(found: DataFrame) -> DataFrame:
