@@ -30,17 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
         return given.rstrip("/")
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="declara-"))
+    if (app := spark.sparkContext.applicationId) not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="declara-")
+    return _own[app]
 
 
-BATCH_BYTES, WHOLE_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+#: Settings of batches: what they are when nobody has set them, and what suits rows that are texts.
+BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": (("64m", "67108864", "67108864b"), "4m"),
+    "spark.sql.parquet.columnarReaderBatchSize": (("4096",), "512"),
+}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches hold a few MB, unless it says otherwise: a worker and its executor hold several at once."""
+    """``df``, in a session whose batches hold a few MB of texts, unless it says otherwise: an executor and its workers hold several at once."""
     conf = df.sparkSession.conf
-    if conf.get(BATCH_BYTES, "64m") in (f"{WHOLE_BATCH}b", "64m"):
-        conf.set(BATCH_BYTES, "4m")
+    for key, (unset, suits) in BATCHES.items():
+        if conf.get(key, unset[0]) in unset:
+            conf.set(key, suits)
     return df
 
 

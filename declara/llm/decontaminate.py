@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, let, lower_az, quoted, stored
+from .common import fits, let, lower_az, quoted, small_batches, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -93,7 +93,7 @@ def decontaminate(
         items.where(F.col("len") == n).select(F.explode(_marks(_word_hashes(F.col("iw")), n, span, gram)).alias("mark"), "len") for n in lengths
     ]
     # Texts that share an id, or have none, are documents of their own.
-    docs = docs.select(F.struct(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("text")).alias("doc"), quoted(text_col).alias("text"))
+    docs = small_batches(docs).select(F.struct(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("text")).alias("doc"), quoted(text_col).alias("text"))
     if not lengths:
         return _result(docs.select("doc", F.size(words_of(F.col("text"))).cast("long").alias("n"), *_no_hits(kind)), id_col)
     known = marks[0]

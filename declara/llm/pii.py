@@ -48,7 +48,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carried, let, marks_of, perhaps_in, stored
+from .common import Carried, let, marks_of, perhaps_in, small_batches, stored
 
 #: Country codes, and a further digit with what may separate it from the one before.
 COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
@@ -312,7 +312,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
 def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with entities replaced in ``text_col``, and ``n_entities`` counting them."""
-    table = Carried(docs, id_col, text_col, ("n_entities",))
+    table = Carried(small_batches(docs), id_col, text_col, ("n_entities",))
     text = F.col("text")
     has = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
     row_key = F.xxhash64("id", "text").alias("row_key")
