@@ -21,7 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
         return given.rstrip("/")
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="declara-"))
+    if (app := spark.sparkContext.applicationId) not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="declara-")
+    return _own[app]
 
 
 def place(spark: SparkSession, schema: str, name: str) -> str:
