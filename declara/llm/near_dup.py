@@ -15,9 +15,9 @@ concentration over coordinates.
   0.8 is missed with probability 6e-5, at 0.85 with 2e-7; tests measure it.
 * Documents with a key in common are compared with the key's smallest id (so a
   group of n gives n - 1 candidates, not n * n / 2). Where a key still holds
-  several components, its documents are compared with the smallest of another of
-  them, a few times, and then all of them across components, in pairs of blocks
-  of bounded size. No link between different texts is dropped; pairs already in
+  several components, and many documents outside the largest, its documents are
+  compared with the smallest of another component, a few times; then all of them
+  across components, in pairs of blocks of bounded size. No link between different texts is dropped; pairs already in
   one component are not needed.
 * A candidate goes on if the sketches, a byte a coordinate, agree often enough: a
   pair at the threshold fails that with a probability under 1e-9. Those that pass
@@ -205,10 +205,11 @@ def _across(members: DataFrame, width: int, least: int, block: int) -> DataFrame
         left = np.flatnonzero(own == i)
         right = left if i == j else np.flatnonzero(own == j)
         a, b = [], []
-        for x in left:  # one row against all of the other block at a time
-            some = right[labels[right] != labels[x]]
-            if i == j:
-                some = some[ids[some] > ids[x]]
+        # Rows of the most common component are like each other: only the others need to be compared, with all of the other side.
+        names, counts = np.unique(labels, return_counts=True)
+        for x in np.flatnonzero(labels != names[counts.argmax()]):
+            some = right if own[x] == i else left
+            some = some[(labels[some] != labels[x]) & ((ids[some] > ids[x]) | (labels[some] == names[counts.argmax()]))]
             some = some[(rows[some] == rows[x]).sum(axis=1) >= least]
             a += [int(ids[x])] * len(some)
             b += ids[some].tolist()
@@ -239,10 +240,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, label, lo, hi, size): members of keys that hold several components, with their labels."""
+    """(key, id, label, hi, size, others): members of keys that hold several components; others: those outside the largest of them."""
     now = members.join(labels.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     now = stored(now, "labelled")
-    keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    parts = now.groupBy("key", "label").agg(F.count("*").alias("n"))
+    keys = parts.groupBy("key").agg(F.max("label").alias("hi"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
     return stored(now.join(stored(keys, "open"), "key"), "open-members")
 
 
@@ -265,10 +267,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     links = stored(_confirmed(stored(_alike(pairs, one, width, least), "alike"), docs, shingle, percent), "links")
     labels = stored(components(links), "labels")
     left = _open(members, labels)
-    for _ in range(stars):  # keys of more than a block: another hub, from the component that has the largest label
-        if left.where(F.col("size") > block).isEmpty():
+    for _ in range(stars):  # keys with more than a block outside their largest component: another hub, from the component that has the largest label
+        if left.where(F.col("others") > block).isEmpty():
             break
-        hubs = stored(left.where((F.col("size") > block) & (F.col("label") == F.col("hi"))).groupBy("key").agg(F.min("id").alias("a")), "hubs")
+        hubs = stored(left.where((F.col("others") > block) & (F.col("label") == F.col("hi"))).groupBy("key").agg(F.min("id").alias("a")), "hubs")
         pairs = left.where("label <> hi").join(hubs, "key").select("a", F.col("id").alias("b")).distinct()
         links = links.union(stored(_confirmed(stored(_alike(pairs, one, width, least), "alike"), docs, shingle, percent), "links"))
         labels = stored(components(links), "labels")
