@@ -17,9 +17,9 @@ concentration over coordinates.
   group of n gives n - 1 candidates, not n * n / 2). Where a key still holds
   several components, and many documents outside the largest, its documents are
   compared with the smallest of another component, a few times; then all of them
-  across components, in pairs of blocks of bounded size. No link between different texts is dropped; pairs already in
-  one component are not needed.
-* A candidate goes on if the sketches, a byte a coordinate, agree often enough: a
+  across components on full sets, in pairs of blocks of bounded size, which yield
+  links only.
+* A candidate of a hub goes on if the sketches, a byte a coordinate, agree often enough: a
   pair at the threshold fails that with a probability under 1e-9. Those that pass
   are confirmed on full sets, made from the texts of such documents alone; a
   hub's set is sent once to each portion of its partners, not with each.
@@ -187,35 +187,49 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, po
     return dealt.groupBy("at").applyInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, width: int, least: int, block: int) -> DataFrame:
-    """Pairs (a, b) of one key, of different components, whose sketches agree. members: (key, id, label, sketch, size of the key).
+def _across(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between components within a key. members: (key, id, label, size of the key).
 
     A key's members are dealt into blocks of about ``block``; each pair of blocks
     is a group of its own, whose size does not depend on the key's.
     """
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    dealt = members.withColumn("own", own).select("key", "id", "label", "sketch", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "sketch")
+    dealt = members.withColumn("own", own).select("key", "id", "label", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label")
+    dealt = dealt.join(sets, "id").select("key", "i", "j", "own", "id", "label", "elements")
 
     def run(group: pa.Table) -> pa.Table:
         ids, labels, own = (group.column(c).to_numpy() for c in ("id", "label", "own"))
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("elements").combine_chunks()]
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        rows = _rows_of(group.column("sketch").combine_chunks(), width)
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
-        a, b = [], []
-        # Rows of the most common component are like each other: only the others need to be compared, with all of the other side.
-        names, counts = np.unique(labels, return_counts=True)
-        for x in np.flatnonzero(labels != names[counts.argmax()]):
-            some = right if own[x] == i else left
-            some = some[(labels[some] != labels[x]) & ((ids[some] > ids[x]) | (labels[some] == names[counts.argmax()]))]
-            some = some[(rows[some] == rows[x]).sum(axis=1) >= least]
-            a += [int(ids[x])] * len(some)
-            b += ids[some].tolist()
-        return pa.table({"a": pa.array(np.minimum(a, b) if a else [], pa.int64()), "b": pa.array(np.maximum(a, b) if a else [], pa.int64())})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        sizes = np.array([len(x) for x in found])
+        common = common_counts(found)
+        link = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        link &= (labels[:, None] != labels[None, :]) & (ids[:, None] < ids[None, :])
+        if i != j:
+            link &= own[:, None] != own[None, :]
+        a, b = np.nonzero(link)
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each two sets share, some elements at a time."""
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = counts[place] > 1
+    column = np.cumsum(counts > 1)[place[shared]] - 1
+    owner, out = owner[shared], np.zeros((len(sets), len(sets)), np.int64)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        lo, hi = np.searchsorted(column, (start, start + columns))
+        part = np.zeros((len(sets), columns), np.float32)
+        part[owner[lo:hi], column[lo:hi] - start] = 1
+        out += (part @ part.T).astype(np.int64)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -248,7 +262,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(now.join(stored(keys, "open"), "key"), "open-members")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, block: int = 1024, stars: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, block: int = 256, stars: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
     docs = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     owned, shared_ids = own_keys(small_batches(docs), "own_key", nulls=False)
@@ -267,18 +281,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     links = stored(_confirmed(stored(_alike(pairs, one, width, least), "alike"), docs, shingle, percent), "links")
     labels = stored(components(links), "labels")
     left = _open(members, labels)
-    for _ in range(stars):  # keys with more than a block outside their largest component: another hub, from the component that has the largest label
-        if left.where(F.col("others") > block).isEmpty():
+    for _ in range(stars):  # keys with many outside their largest component: another hub, from the component that has the largest label
+        if left.where(F.col("others") > 8 * block).isEmpty():
             break
-        hubs = stored(left.where((F.col("others") > block) & (F.col("label") == F.col("hi"))).groupBy("key").agg(F.min("id").alias("a")), "hubs")
+        hubs = stored(left.where((F.col("others") > 8 * block) & (F.col("label") == F.col("hi"))).groupBy("key").agg(F.min("id").alias("a")), "hubs")
         pairs = left.where("label <> hi").join(hubs, "key").select("a", F.col("id").alias("b")).distinct()
         links = links.union(stored(_confirmed(stored(_alike(pairs, one, width, least), "alike"), docs, shingle, percent), "links"))
         labels = stored(components(links), "labels")
         left = _open(members, labels)
-    # Every pair across components that is left, in blocks.
-    pairs = _across(left.select("key", "id", "label", "size").join(one.select("id", "sketch"), "id"), width, least, block)
-    tried = stored(pairs.join(one.select(F.col("id").alias("b"), "n"), "b").select("a", "b", "n"), "alike")
-    found = stored(_confirmed(tried, docs, shingle, percent), "links")
+    # Every pair across components that is left, in blocks, on full sets.
+    ids = stored(left.select("id").distinct(), "ids")
+    texts, _ = perhaps_in(docs, "doc_id", marks_of(ids, "id"))
+    sets = stored(_sets(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), shingle), "sets")
+    found = stored(_across(left.select("key", "id", "label", "size"), sets, percent, block), "links")
     labels = stored(components(links.union(found)), "labels")
     # Only classes of several documents, or in a larger component, say more than each document's own id.
     named = classes.join(labels.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left").where("copies > 1 or label < id")
