@@ -55,6 +55,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(_write(df))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt over many tasks by keys: readers deal by bytes, which leaves rows that take long in one task where they are short."""
+    spark = df.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 class Rounds:
     """What the rounds of a loop add, each written once and read together; gone when the loop has its result."""
 

@@ -11,7 +11,7 @@ from .functions import sqltext as S
 from .functions.analysis import STOP_WORDS, references_of, without_comments
 from .functions.tokens import split_statements
 from .operators import extract, graph, lineage, quality, state
-from .operators.tables import settled, shared_folder
+from .operators.tables import settled, shared_folder, spread
 from .plans import catalog, deploy, dialect, report
 from .queries_tables import FK, ends, fk_edges, numbered, query, t
 
@@ -31,7 +31,7 @@ def address_extract(spark, sf_dir):
 def texts(spark, sf_dir, text: Column, name: str = "part", key: str = "p_partkey") -> DataFrame:
     """A corpus with a file for each row of a table."""
     path = F.concat(F.lit("file:///objects/f_"), F.col(key), F.lit(".sql"))
-    return t(spark, sf_dir, name).select(path.alias("file_path"), text.alias("raw_sql"), F.md5(text.cast("binary")).alias("checksum"))
+    return spread(t(spark, sf_dir, name), key).select(path.alias("file_path"), text.alias("raw_sql"), F.md5(text.cast("binary")).alias("checksum"))
 
 
 def filled(template: str, key: str = "p_partkey", name: str = "p_name") -> Column:
