@@ -1,9 +1,13 @@
 """What keeps queries on a corpus of many files within their time."""
 
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
+from declara.functions.analysis import told
 from declara.queries import QUERIES
+from declara.queries_text import BODIES, OBJECTS
 
 
 @pytest.fixture(scope="module")
@@ -24,3 +28,24 @@ def test_small_files_are_parsed_in_many_tasks(spark, parts, name, rows):
     found = QUERIES[name](spark, parts)
     assert found.count() == rows
     assert tasks_with_rows(found) >= 8
+
+
+def calls(f) -> int:
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+@pytest.mark.parametrize("text, most", [(OBJECTS, 2000), (BODIES, 4000)])
+def test_steps_of_the_parse(text, most):
+    told(text, "f.sql")
+    assert calls(lambda: told(text, "f.sql")) < most
