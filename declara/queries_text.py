@@ -97,7 +97,7 @@ EDGES = """('SQL', 'reads', 'S.IN_#'), ('SQL', 'reads', 'S.J'), ('SQL', 'reads',
 
 
 def lineage_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    objects = settled(extract.objects(texts(spark, sf_dir, filled(BODIES))))
+    objects = settled(extract.objects(texts(spark, sf_dir, filled(BODIES))).select("file_path", "object_type", "raw_name", "fqn", "is_drop", "line_number", "sources", "targets"))
     return objects, lineage.lineage(objects)
 
 

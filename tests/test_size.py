@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from declara.functions.analysis import told
 from declara.queries import QUERIES
-from declara.queries_text import BODIES, OBJECTS
+from declara.queries_text import BODIES, OBJECTS, lineage_rows
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +49,9 @@ def calls(f) -> int:
 def test_steps_of_the_parse(text, most):
     told(text, "f.sql")
     assert calls(lambda: told(text, "f.sql")) < most
+
+
+def test_lineage_is_made_from_few_columns(spark, parts):
+    objects, told_rows = lineage_rows(spark, parts)
+    assert not {"raw_sql", "resolved_sql", "script"} & set(objects.columns)
+    assert told_rows.count() == 500  # of seven objects a file, five read or write
