@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as S
@@ -41,9 +41,8 @@ def cached_objects(corpus: DataFrame, variables: dict[str, str] | None, cache: s
 
 def current(found: DataFrame) -> DataFrame:
     """One definition of each name: the last by path and place."""
-    rest = [c for c in found.columns if c != "fqn"]
-    last = F.max_by(F.struct(*rest), F.struct("file_path", "line_number"))
-    return found.where(~F.col("is_drop")).groupBy("fqn").agg(last.alias("r")).select("fqn", "r.*").select(*found.columns)
+    last = F.row_number().over(Window.partitionBy("fqn").orderBy(F.desc("file_path"), F.desc("line_number")))  # columns that no one reads are not carried
+    return found.where(~F.col("is_drop")).withColumn("_place", last).where("_place = 1").drop("_place")
 
 
 def shadowed(found: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from declara.functions.analysis import told
+from declara.operators import extract
 from declara.queries import QUERIES
-from declara.queries_text import BODIES, OBJECTS, lineage_rows
+from declara.queries_text import BODIES, OBJECTS, filled, lineage_rows, texts
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +56,12 @@ def test_lineage_is_made_from_few_columns(spark, parts):
     objects, told_rows = lineage_rows(spark, parts)
     assert not {"raw_sql", "resolved_sql", "script"} & set(objects.columns)
     assert told_rows.count() == 500  # of seven objects a file, five read or write
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_last_definitions_carry_what_is_read(spark, parts):
+    found = extract.current(extract.objects(texts(spark, parts, filled(OBJECTS))))
+    assert "script" not in plan(found.select("fqn", "file_path"))
