@@ -75,7 +75,8 @@ def last_definition(spark, sf_dir):
 
 @query("SELECT x AS target FROM (VALUES ('S2.GRANTED'), ('S2.PARENT'), ('S2.R;'), ('OTHER.O'), ('X.Y'), ('X.Z')) w(x)")
 def external_dependencies(spark, sf_dir):
-    return graph.external(extract.current(extract.objects(texts(spark, sf_dir, filled(OBJECTS))))).select("target").distinct()
+    defined = extract.current(extract.objects(texts(spark, sf_dir, filled(OBJECTS)))).select("fqn", "file_path", "dependencies")
+    return graph.external(settled(defined)).select("target").distinct()
 
 
 BODIES = """CREATE OR REPLACE PROCEDURE s.sql_%k() RETURNS VARCHAR LANGUAGE SQL AS $$ BEGIN -- FROM s.remark

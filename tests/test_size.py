@@ -65,3 +65,7 @@ def plan(df) -> str:
 def test_last_definitions_carry_what_is_read(spark, parts):
     found = extract.current(extract.objects(texts(spark, parts, filled(OBJECTS))))
     assert "script" not in plan(found.select("fqn", "file_path"))
+
+
+def test_external_dependencies_parse_once(spark, parts):
+    assert "objects_of" not in plan(QUERIES["external_dependencies"](spark, parts))
