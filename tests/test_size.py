@@ -24,7 +24,7 @@ def tasks_with_rows(df) -> int:
     return df.select(F.spark_partition_id()).distinct().count()
 
 
-@pytest.mark.parametrize("name, rows", [("columns_extract", 300)])
+@pytest.mark.parametrize("name, rows", [("columns_extract", 300), ("policy_violations", 100)])
 def test_small_files_are_parsed_in_many_tasks(spark, parts, name, rows):
     found = QUERIES[name](spark, parts)
     assert found.count() == rows
