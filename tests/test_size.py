@@ -56,6 +56,8 @@ def test_lineage_is_made_from_few_columns(spark, parts):
     objects, told_rows = lineage_rows(spark, parts)
     assert not {"raw_sql", "resolved_sql", "script"} & set(objects.columns)
     assert told_rows.count() == 500  # of seven objects a file, five read or write
+    rows = {(r["object_fqn"], r["sources"], r["targets"]) for r in QUERIES["lineage_override"](spark, parts).collect()}
+    assert rows == {(f"S.SQL_{i}", "A.B", f"S.GONE,S.OUT_{i}") for i in range(100)}
 
 
 def plan(df) -> str:
