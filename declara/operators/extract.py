@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as S
-from ..functions.analysis import MUST_ALTER, OBJECT, objects_of
+from ..functions.analysis import MUST_ALTER, OBJECT, objects_udf
 from ..sources.project import there
 from .tables import settled
 
 OUT = ("file_path", *OBJECT.names, "raw_sql", "resolved_sql", "checksum")
 
 
-def objects(corpus: DataFrame, variables: dict[str, str] | None = None) -> DataFrame:
+def objects(corpus: DataFrame, variables: dict[str, str] | None = None, only: tuple[str, ...] = tuple(OBJECT.names), named: str = ".*") -> DataFrame:
     """A row for each CREATE and DROP; a file without one is a SCRIPT named after it.
 
     ``checksum`` is the file's; ``script`` what is to be run for this object alone.
+    With ``only``, the parse makes no other columns of OBJECT than these; with ``named``,
+    a regular expression of Python, only objects whose whole ``raw_name`` it matches.
     """
     files = corpus.withColumn("resolved_sql", S.substituted(F.col("raw_sql"), variables or {}))
-    return files.withColumn("o", F.explode(objects_of("resolved_sql", "file_path"))).select("*", "o.*").select(*OUT)
+    return files.withColumn("o", F.explode(objects_udf(only, named)("resolved_sql", "file_path"))).select("*", "o.*").select(*(c for c in OUT if c in only or c not in OBJECT.names))
 
 
 def cached_objects(corpus: DataFrame, variables: dict[str, str] | None, cache: str) -> DataFrame:

@@ -97,8 +97,11 @@ EDGES = """('SQL', 'reads', 'S.IN_#'), ('SQL', 'reads', 'S.J'), ('SQL', 'reads',
   ('TASK', 'writes', 'S.U_#'), ('TASK', 'writes', 'S.CUT'), ('STR', 'reads', 'S.IN_#')"""
 
 
-def lineage_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    objects = settled(extract.objects(texts(spark, sf_dir, filled(BODIES))).select("file_path", "object_type", "raw_name", "fqn", "is_drop", "line_number", "sources", "targets"))
+READ = ("object_type", "raw_name", "fqn", "is_drop", "line_number", "sources", "targets")
+
+
+def lineage_rows(spark, sf_dir, named: str = ".*") -> tuple[DataFrame, DataFrame]:
+    objects = settled(extract.objects(texts(spark, sf_dir, filled(BODIES)), only=READ, named=named).select("file_path", *READ))
     return objects, lineage.lineage(objects)
 
 
@@ -110,8 +113,7 @@ def lineage_edges(spark, sf_dir):
 
 @query("SELECT 'S.SQL_' || p_partkey AS object_fqn, 'A.B' AS sources, 'S.GONE,S.OUT_' || p_partkey AS targets, 'said' AS description FROM part")
 def lineage_override(spark, sf_dir):
-    objects, _ = lineage_rows(spark, sf_dir)
-    objects = objects.where("raw_name LIKE 's.sql%'")
+    objects, _ = lineage_rows(spark, sf_dir, r"s\.sql.*")
     told = objects.select("file_path", F.array(F.lit("A.B")).alias("sources"), F.array().cast("array<string>").alias("targets"), F.lit("said").alias("description"))
     return lineage.lineage(objects, told).select("object_fqn", F.array_join("sources", ",").alias("sources"), F.array_join("targets", ",").alias("targets"), "description")
 

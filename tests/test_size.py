@@ -5,10 +5,11 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from declara.functions.analysis import told
+from declara.functions.analysis import head_in, head_of, told
+from declara.functions.tokens import statements_of, tokens
 from declara.operators import extract
 from declara.queries import QUERIES
-from declara.queries_text import BODIES, OBJECTS, filled, lineage_rows, texts
+from declara.queries_text import BODIES, OBJECTS, READ, filled, lineage_rows, texts
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +72,25 @@ def test_last_definitions_carry_what_is_read(spark, parts):
 
 def test_external_dependencies_parse_once(spark, parts):
     assert "objects_of" not in plan(QUERIES["external_dependencies"](spark, parts))
+
+
+def test_lineage_is_looked_for_where_names_match(spark, parts):
+    named = r"s\.sql.*"
+    assert told(BODIES, "f.sql", READ, named) == [{k: r[k] for k in READ} for r in told(BODIES, "f.sql") if r["raw_name"].startswith("s.sql")]
+    assert calls(lambda: told(BODIES, "f.sql", READ, named)) < 1000
+    assert lineage_rows(spark, parts, named)[0].count() == 100  # one object a file is written aside, not seven
+
+
+ODD_HEADS = """CREATE TABLE IF EXISTS x (a INT); CREATE OR ALTER /* ; */ TRANSIENT TABLE IF NOT EXISTS "a;""b" -- ; c
+. c.d.e (a INT); DROP MATERIALIZED -- x
+VIEW IF EXISTS é.v; DROP VIEW IF NOT EXISTS v; CREATE FILE x; CREATE taſk t AS BEGIN SELECT CASE WHEN a THEN b END; END; CREATE$x TABLE y; create or replace
+secure view "q"; CREATE TABLE; CREATE TABLE t$1.$$x$$; DROP TABLE a.1; BEGIN; $A$ ; $a$ ; $A$ SELECT 1; CREATE OR DROP TABLE t; BEGIN SELECT 1; END"""
+
+
+def test_statements_and_heads_from_the_text():
+    found = statements_of(ODD_HEADS)
+    assert len(found) == 15
+    for s in found:
+        head, read = head_of(tokens(s.text, every=False)), head_in(s)
+        assert (read and read._replace(end=0)) == (head and head._replace(end=0))
+        assert s.code == [t._replace(start=t.start + s.start) for t in tokens(s.text, every=False)]
